@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import decontaminate, fingerprints, language_id, packing, quality, toxicity
+from curatrix.llm import decontaminate, fingerprints, language_id, near_dedup, packing, quality, toxicity
 from curatrix.llm.common import held_out, read
 
 
@@ -26,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classify(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -90,6 +94,7 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op4_near_dedup": op4_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,

@@ -33,7 +33,7 @@ from curatrix.llm.text import codes, mix, words
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 SIZES = (3, 4, 5)
-BLOCK = 16
+BLOCK = 4
 SAMPLE = 3_000
 #: Texts whose words are looked at together.
 _CHUNK = 1 << 20
@@ -88,15 +88,14 @@ def _blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """What scoring needs: each bucket's share of the logit, the bias, or a constant."""
+    """What scoring needs: each bucket's share of the logit and the bias, or a constant."""
 
     weights: np.ndarray
     bias: float
     constant: float | None = None
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
+    def tops(self, texts: list[str]) -> np.ndarray:
+        """The logit of each text's highest block, before the bias."""
         number, sizes, buckets, owners = _vocabulary(texts)
         n = int(number.max()) + 1 if len(number) else 0
         grams = np.maximum(np.bincount(owners, minlength=n), 1)
@@ -107,66 +106,108 @@ class Model:
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, text, mean)
         top[np.isinf(top)] = 0.0
-        return 1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30)))
+        return top
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        return 1 / (1 + np.exp(-np.clip(self.tops(texts) + self.bias, -30, 30)))
+
 
+def train(
+    texts: list[str], labels: np.ndarray, epochs: tuple[int, int] = (12, 16), rate: float = 0.05, decay: float = 0.05,
+    least: float = 0.004, scale: float = 60.0, batch: int = 256, seed: int = 7,
+) -> Model:
+    """Joint training of vectors and softmax with Adam.
 
-def train(texts: list[str], labels: np.ndarray, steps: tuple[int, int] = (40, 80), rate: float = 0.1, seed: int = 7) -> Model:
-    """Joint full-batch training of vectors and softmax with Adam."""
+    A fifth of the texts is kept out, to fit the slope and bias of the final
+    logistic curve on.
+    """
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, float(labels.mean()) if len(labels) else 0.0)
     number, sizes, buckets, owners = _vocabulary(texts)
-    present, slot = np.unique(buckets, return_inverse=True)
     n_words, n_texts = int(number.max()) + 1 if len(number) else 0, len(texts)
     grams = np.maximum(np.bincount(owners, minlength=n_words), 1)
-    block, of = _blocks(sizes)
-    n_blocks = len(of)
-    in_block = np.maximum(np.bincount(block, minlength=n_blocks), 1)
-    in_text = np.maximum(sizes, 1)
+    # n-grams that too few texts have would only learn those texts' labels by heart
     text_of_word = np.repeat(np.arange(n_texts), sizes)
-    balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    balance = np.sqrt(balance) / np.sqrt(balance).mean()
+    pairs = np.unique(number.astype(np.int64) * n_texts + text_of_word)
+    spread = np.bincount(buckets, np.bincount(pairs // max(n_texts, 1), minlength=n_words)[owners], BUCKETS)
+    common = spread[buckets] >= max(3, least * n_texts)
+    buckets, owners = buckets[common], owners[common]
+    present, slot = np.unique(buckets, return_inverse=True)
+    block, of = _blocks(sizes)
+    first_word = np.concatenate([[0], np.cumsum(sizes)])
+    first_block = np.concatenate([[0], np.cumsum(-(-sizes // BLOCK))])
 
     draw = np.random.default_rng(seed)
+    kept = draw.permutation(n_texts)
+    held, kept = (kept[: n_texts // 5], kept[n_texts // 5 :]) if n_texts >= 50 else (kept, kept)
     vectors = draw.normal(0, 0.1, (len(present), DIMENSIONS))
     softmax = draw.normal(0, 1.0, (2, DIMENSIONS))
-    bias = np.array([-2.0])
+    bias = np.array([np.log(labels.mean() / (1 - labels.mean()))])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
-    for step in range(1, sum(steps) + 1):
-        averaging = step <= steps[0]
-        direction = softmax[1] - softmax[0]
-        logit = vectors @ direction
-        word = np.bincount(owners, logit[slot], n_words) / grams
-        if averaging:
-            scale = 30.0
-            top = scale * np.bincount(text_of_word, word[number], n_texts) / in_text
-        else:
-            mean = np.bincount(block, word[number], n_blocks) / in_block
-            top = np.full(n_texts, -np.inf)
-            np.maximum.at(top, of, mean)
-            top[np.isinf(top)] = 0.0
-        p = 1 / (1 + np.exp(-np.clip(top + bias[0], -30, 30)))
-        error = (p - labels) * balance / n_texts
-        if averaging:
-            per_word = np.bincount(number, (scale * error / in_text)[text_of_word], n_words)
-        else:
-            chosen = mean >= top[of]  # ties share the text's error
-            share = error[of] * chosen / np.maximum(np.bincount(of, chosen, n_texts), 1)[of]
-            per_word = np.bincount(number, (share / in_block)[block], n_words)
-        on_gram = np.bincount(slot, (per_word / grams)[owners], len(present))
-        g_direction = on_gram @ vectors
-        gradients = [
-            np.outer(on_gram, direction) + 1e-7 * vectors,
-            np.stack([-g_direction, g_direction]) + 1e-5 * softmax,
-            np.array([error.sum()]),
-        ]
-        for k, (p_, g) in enumerate(zip((vectors, softmax, bias), gradients)):
-            m, v = moments[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    step = 0
+    for epoch in range(sum(epochs)):
+        order = draw.permutation(kept)
+        for chosen in np.array_split(order, max(1, len(order) // batch)):
+            chosen = np.sort(chosen)
+            n = len(chosen)
+            at = np.concatenate([np.arange(first_word[t], first_word[t + 1]) for t in chosen])
+            own = np.repeat(np.arange(n), sizes[chosen])
+            used = number[at]
+            direction = softmax[1] - softmax[0]
+            logit = vectors @ direction
+            word = np.bincount(owners, logit[slot], n_words) / grams
+            in_text = np.maximum(sizes[chosen], 1)
+            if epoch < epochs[0]:
+                top = scale * np.bincount(own, word[used], n) / in_text
+            else:
+                blocks = -(-sizes[chosen] // BLOCK)
+                mine = np.repeat(np.arange(n), blocks)
+                local = block[at] - np.repeat(first_block[chosen] - (np.cumsum(blocks) - blocks), sizes[chosen])
+                filled = np.maximum(np.bincount(local, minlength=len(mine)), 1)
+                mean = np.bincount(local, word[used], len(mine)) / filled
+                top = np.full(n, -np.inf)
+                np.maximum.at(top, mine, mean)
+                top[np.isinf(top)] = 0.0
+            p = 1 / (1 + np.exp(-np.clip(top + bias[0], -30, 30)))
+            error = (p - labels[chosen]) / n
+            if epoch < epochs[0]:
+                per_word = np.bincount(used, (scale * error / in_text)[own], n_words)
+            else:
+                best = mean >= top[mine]  # ties share the text's error
+                share = error[mine] * best / np.maximum(np.bincount(mine, best, n), 1)[mine]
+                per_word = np.bincount(used, (share / filled)[local], n_words)
+            on_gram = np.bincount(slot, (per_word / grams)[owners], len(present))
+            g_direction = on_gram @ vectors
+            step += 1
+            gradients = [np.outer(on_gram, direction), np.stack([-g_direction, g_direction]), np.array([error.sum()])]
+            for k, (value, g) in enumerate(zip((vectors, softmax, bias), gradients)):
+                m, v = moments[k]
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                if k < 2:
+                    value *= 1 - rate * decay
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[present] = vectors @ (softmax[1] - softmax[0])
-    return Model(weights, float(bias[0]))
+    slope, shift = _curve(Model(weights, 0.0).tops([texts[t] for t in held]), labels[held])
+    return Model(weights * np.float32(slope), shift)
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of the logistic curve through (x, y), by damped Newton steps."""
+    center, spread = x.mean(), x.std() + 1e-6
+    z, y = (x - center) / spread, np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        w = p * (1 - p) + 1e-6
+        g = np.array([((y - p) * z).sum() - 0.01 * a, (y - p).sum()])
+        h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum()]])
+        d = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, b = max(a + d[0], 1e-3), b + d[1]
+    return float(a / spread), float(b - a * center / spread)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
