@@ -101,17 +101,17 @@ def _runs(nodes: DataFrame) -> DataFrame:
     while undone:
         ahead = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("run").alias("r"), F.col("place").alias("p"), F.col("done").alias("d"))
         state = state.join(ahead, F.col("tree").eqNullSafe(F.col("t")) & (F.col("run") == F.col("i"))).select(
-            "tree", "id", "parent", "score", F.col("r").alias("run"), (F.col("place") + F.when(F.col("done"), 0).otherwise(F.col("p"))).alias("place"), F.col("d").alias("done")
+            "tree", "id", "parent", "score", F.col("r").alias("run"), (F.col("place") + F.col("p")).alias("place"), F.col("d").alias("done")
         )
         state = materialize(state, "runs")
         before, undone = undone, state.where("NOT done").count()
-        if undone == before and not state.where("NOT done AND place < 1000000000").limit(1).count():
+        if undone == before:
             break  # only circles are left
     return state.where("done")
 
 
-def paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """(tree, leaf, rank, score, place, run): the runs on each chosen path, in order.
+def paths(messages: DataFrame, best: int | None = 1) -> tuple[DataFrame, DataFrame]:
+    """(tree, leaf, rank, score, place, run): the runs on each chosen path, in order; and the messages' runs.
 
     ``messages`` has the columns of ``linear``. ``best`` paths of each tree are
     chosen, all if it is None.

@@ -31,17 +31,15 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(text: Column, size: int) -> Column:
-    """Array of (at, a, b): position and 128-bit hash of each window that is not blank."""
-    lines = F.transform(_lines(text), F.trim)
+def _windows(lines: Column, size: int) -> Column:
+    """Array of (at, a, b, n): position, 128-bit hash and length of each window that is not blank."""
 
     def window(at: Column) -> Column:
-        own = [F.get(lines_, at + F.lit(j)) for j in range(size)]
+        own = [F.get(lines, at + F.lit(j)) for j in range(size)]
         return F.struct(at.alias("at"), F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("b"), *own).alias("b"), F.length(F.concat(*own)).alias("n"))
 
-    lines_ = F.col("lines")
-    found = F.transform(F.sequence(F.lit(0), F.size(lines_) - F.lit(size)), window)
-    return lines, F.filter(F.when(F.size(lines_) >= size, found), lambda w: w["n"] > 0)
+    found = F.transform(F.sequence(F.lit(0), F.size(lines) - F.lit(size)), window)
+    return F.filter(F.when(F.size(lines) >= size, found), lambda w: w["n"] > 0)
 
 
 def repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,9 +50,8 @@ def repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_co
     """
     text = col(text_col).cast("string")
     rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(_NO_ID)).alias("key"), text.alias("text")).where("text IS NOT NULL")
-    lines, windows = _windows(F.col("text"), size)
-    rows = rows.select("key", F.xxhash64("text").alias("digest"), lines.alias("lines"))
-    places = rows.select("key", "digest", F.explode(windows).alias("w")).select("key", "digest", "w.at", "w.a", "w.b")
+    rows = rows.select("key", F.xxhash64("text").alias("digest"), F.transform(_lines(F.col("text")), lambda x: F.trim(x)).alias("lines"))
+    places = rows.select("key", "digest", F.explode(_windows(F.col("lines"), size)).alias("w")).select("key", "digest", "w.at", "w.a", "w.b")
     first = places.groupBy("a", "b").agg(F.min(F.struct("key", "digest", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1").select("a", "b", "first")
     later = places.join(first, ["a", "b"]).where(F.struct("key", "digest", "at") != F.col("first"))

@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from curatrix.llm import decontaminate, fingerprints, language_id, near_dedup, packing, quality, toxicity
+from curatrix.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, packing, quality, toxicity
 from curatrix.llm.common import held_out, read
 
 
@@ -26,6 +27,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out, lines, removed = line_dedup.deduplicate(docs)
+    return out.select("doc_id", "text", lines.alias("n_lines"), removed.alias("n_removed"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat_format.conversations(chat_format.linear(messages))
+    kind = "struct<n_turns:bigint,turns_sha256:string,loss_chars:bigint,loss_sha256:string,formatted_chars:bigint>"
+    return out.select(F.col("tree").alias("conv_id"), arrow_udf(chat_format.read_back, kind)("formatted", "starts", "ends").alias("d")).select("conv_id", "d.*")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classify(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
 
@@ -66,6 +82,41 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+OP2_SQL = r"""
+WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+place AS (
+  SELECT doc_id, i, trim(lines[i]) || chr(10) || trim(lines[i + 1]) || chr(10) || trim(lines[i + 2]) AS w
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM doc WHERE len(lines) >= 3)),
+first AS (
+  SELECT w, min({'d': doc_id, 'i': i}) AS f FROM place WHERE w <> chr(10) || chr(10) GROUP BY w HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT doc_id, i + j AS k FROM place JOIN first USING (w), (VALUES (0), (1), (2)) AS t(j)
+  WHERE {'d': doc_id, 'i': i} <> f),
+line AS (SELECT doc_id, k, lines[k] AS l FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM doc)),
+kept AS (
+  SELECT doc_id, string_agg(l, chr(10) ORDER BY k) AS t, count(*) AS n
+  FROM line ANTI JOIN covered USING (doc_id, k) GROUP BY doc_id)
+SELECT doc.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text,
+  CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines), 0) - coalesce(n, 0) AS BIGINT) AS n_removed
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '###', '\###') AS t,
+    replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\</turn>'), '###', '\###'), ':', '\:') AS r
+  FROM turns)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(r) + length(t) + 14) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
 OP8_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -94,6 +145,8 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_chat_format": op3_chat_format,
         "op4_near_dedup": op4_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
@@ -104,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL}
