@@ -192,3 +192,15 @@ def _shaped(df: DataFrame) -> DataFrame:
 def n_hit(spans: Column) -> Column:
     """How many words the merged spans cover."""
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without an occurrence, with all their columns."""
+    items = benchmark.select(col(item_col).cast("string").alias("item"), col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        search = searcher([(r["item"], r["text"]) for r in part.collect()], docs.sparkSession, window)
+        docs = docs.where(F.size(search(col(text_col).cast("string"))["starts"]) == 0)
+    return docs

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from curatrix.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, packing, quality, toxicity
+from curatrix.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, line_dedup, near_dedup, packing, quality, toxicity
 from curatrix.llm.common import held_out, read
 
 
@@ -82,6 +82,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.main_texts(read(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 OP2_SQL = r"""
 WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 place AS (
@@ -153,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_decontaminate": op8_decontaminate,
         "op9_fingerprints": op9_fingerprints,
+        "op10_html_extract": op10_html_extract,
     }
 
 

@@ -282,3 +282,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per document: (doc_id, score)."""
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     return rows.select("doc_id", scorer(model, docs.sparkSession)("text").alias("score"))
+
+
+def clean(docs: DataFrame, model: Model, cut: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below the cut, with all their columns."""
+    return docs.where(scorer(model, docs.sparkSession)(col(text_col).cast("string")) < cut)
