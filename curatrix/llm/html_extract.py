@@ -209,7 +209,20 @@ def merge(a: list, b: list) -> list:
     return [a[0], _either(a[1], b[1]), a[2], text, _aligned(a[4], b[4])]
 
 
+def _grouped(kids: list, other: list) -> list:
+    """``kids`` with runs that are a group of ``other`` put together as one, met once."""
+    for group in other:
+        keys = [k[0] for k in group[4]]
+        if group[0][:1] == "(" and group[0] not in [k[0] for k in kids]:
+            for i in range(len(kids) - len(keys) + 1):
+                if [k[0] for k in kids[i : i + len(keys)]] == keys:
+                    kids = [*kids[:i], [group[0], "1", False, None, kids[i : i + len(keys)]], *kids[i + len(keys) :]]
+                    break
+    return kids
+
+
 def _aligned(a: list, b: list) -> list:
+    a, b = _grouped(a, b), _grouped(b, a)
     x, y = [k[0] for k in a], [k[0] for k in b]
     if x == y:
         return [merge(p, q) for p, q in zip(a, b)]
