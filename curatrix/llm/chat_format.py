@@ -96,18 +96,21 @@ def _runs(nodes: DataFrame) -> DataFrame:
         "tree", "id", F.when(F.col("i").isNotNull(), F.col("parent")).alias("parent"), "score",
         F.when(first, F.col("id")).otherwise(F.col("parent")).alias("run"), F.when(first, 0).otherwise(1).cast("long").alias("place"), first.alias("done"),
     )
+    # Only messages whose run is still open are joined again.
     state = materialize(state, "runs")
-    undone = state.where("NOT done").count()
-    while undone:
-        ahead = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("run").alias("r"), F.col("place").alias("p"), F.col("done").alias("d"))
-        state = state.join(ahead, F.col("tree").eqNullSafe(F.col("t")) & (F.col("run") == F.col("i"))).select(
+    ended, open_ = state.where("done"), state.where("NOT done")
+    left = open_.count()
+    while left:
+        ahead = ended.unionByName(open_).select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("run").alias("r"), F.col("place").alias("p"), F.col("done").alias("d"))
+        step = open_.join(ahead, F.col("tree").eqNullSafe(F.col("t")) & (F.col("run") == F.col("i"))).select(
             "tree", "id", "parent", "score", F.col("r").alias("run"), (F.col("place") + F.col("p")).alias("place"), F.col("d").alias("done")
         )
-        state = materialize(state, "runs")
-        before, undone = undone, state.where("NOT done").count()
-        if undone == before:
+        step = materialize(step, "runs")
+        ended, open_ = ended.unionByName(step.where("done")), step.where("NOT done")
+        before, left = left, open_.count()
+        if left == before:
             break  # only circles are left
-    return state.where("done")
+    return ended
 
 
 def paths(messages: DataFrame, best: int | None = 1) -> tuple[DataFrame, DataFrame]:
