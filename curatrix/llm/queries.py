@@ -43,7 +43,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classify(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
+    return near_dedup.classify(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
