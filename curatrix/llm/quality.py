@@ -1,7 +1,8 @@
 """Quality classifier (7): ordinal cumulative-link regression on graded ratings.
 
 A text's score is the mean weight of its hashed character trigrams, case kept,
-plus the mean weight of its hashed words. All grades share these weights; they
+plus that of its hashed words, plus that of hashed marks of its words: new, seen
+before, or the same as the word before. All grades share these weights; they
 differ in ordered thresholds, so P(grade <= g) is the logistic function of
 threshold g less the score. Training is joint, in numpy, over a bounded sample
 of rated rows: ``SAMPLE`` at most, drawn by the least hash of their id. Every
@@ -32,8 +33,8 @@ SAMPLE = 6_000
 SCALE = 30.0
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character trigrams and of the words."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the character trigrams, of the words and of their marks."""
     points = codes(text or "")
     wide = points.astype(np.uint64)
     if len(wide) >= 3:
@@ -42,7 +43,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         trigram = np.zeros(0, dtype=np.uint64)
     _, _, hashes = words(points)
     mask = np.uint64(BUCKETS - 1)
-    return (mix(trigram, 1) & mask).astype(np.int32), (mix(hashes, 2) & mask).astype(np.int32)
+    marks = np.ones(len(hashes), dtype=np.uint64)
+    marks[np.unique(hashes, return_index=True)[1]] = 0
+    marks[1:][hashes[1:] == hashes[:-1]] = 2
+    return tuple((mix(x, k) & mask).astype(np.int32) for k, x in enumerate((trigram, hashes, marks), 1))
 
 
 @dataclass
@@ -76,14 +80,14 @@ class Model:
         return 1 - self.below(scores)[:, k - 1]
 
 
-def train(texts: list[str], ratings: np.ndarray, steps: int = 120, rate: float = 0.05) -> Model:
+def train(texts: list[str], ratings: np.ndarray, steps: int = 70, rate: float = 0.08) -> Model:
     """Weights and thresholds by Adam on the negative log likelihood, full batch."""
     grades = sorted(set(ratings.tolist()))
     if len(grades) < 2:
         return Model(grades, np.zeros(BUCKETS, dtype=np.float32), np.zeros(0))
     parts = [features(t) for t in texts]
     bucket = np.concatenate([b for p in parts for b in p])
-    owner = np.repeat(np.repeat(np.arange(len(texts)), 2), [len(b) for p in parts for b in p])
+    owner = np.repeat(np.repeat(np.arange(len(texts)), 3), [len(b) for p in parts for b in p])
     share = np.repeat([SCALE / max(len(b), 1) for p in parts for b in p], [len(b) for p in parts for b in p])
     present, slot = np.unique(bucket, return_inverse=True)
     grade = np.searchsorted(grades, ratings)
