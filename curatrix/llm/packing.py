@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import col, materialize
 
 #: Entries that a tokenising worker keeps of words it has seen.
-CACHE = 1_000_000
+CACHE = 300_000
 
 _TOKENS = "part int, doc_id long, local_start long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
