@@ -83,6 +83,23 @@ def test_kneser_ney_sums_to_one():
         assert known + np.exp(model._rows(np.array([head << 16 | 0xFFFE], dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_no_counted_gram_is_left_out_of_a_large_model(spark):
+    rng = random.Random(14)
+    rows = [(i, t + " rare" + "".join(rng.choice("bcdfgklmnprst") for _ in range(8)), lang) for i, t, lang in languages(rng)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    whole, apart = language_id.fit(docs), language_id.fit(docs, cells=50)
+    known = {lang: set() for lang in "aa bb cc".split()}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            known[lang].update(language_id.grams(language_id.symbols(t)).tolist())
+    assert [len(p.grams[4]) for p in apart.parts] == [len(known[x]) for x in apart.langs] and len(whole.parts) == 1
+    for _, t, _ in rows[:40]:
+        s = language_id.symbols(t + " Unseen zürq")
+        assert whole.score(s) == pytest.approx(apart.score(s), abs=1e-5)
+    results = [{r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language_id.identify(docs, m).collect()} for m in (whole, apart)]
+    assert results[0] == results[1]
+
+
 # 2 line dedup
 
 def brute_lines(rows, size=3):
