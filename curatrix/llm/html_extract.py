@@ -10,7 +10,8 @@ merged in each task first, then over tasks, in salted steps, so that a host with
 a third of all pages is no task's burden.
 
 From the wrapper follow the host's rules: where the main text lies, and which
-fixed texts outside an article are the template's. The main text is the article
+fixed texts outside an article are the template's: those that ``LEAST_PAGES``
+pages and more than half of the host's have at one place. The main text is the article
 (else the main element, else the deepest container that holds most slot text)
 without the parts that tags, roles, classes or ids name as menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments. A heading in an
@@ -145,8 +146,9 @@ def tree(page: str) -> Node:
 
 
 # A wrapper is [key, quantifier, other, text, kids]; the quantifier is "1", "?",
-# "+" or "*". For a text the key is "#" and text is [hash, characters, link]: the
-# hash is null once texts differ. A group of siblings has the key "(".
+# "+" or "*". For a text the key is "#" and text is [hash, characters, link, pages]:
+# the hash is null once texts differ, and pages is how many have a text there. A
+# group of siblings has the key "(".
 
 def _shape(node: Node, link: bool = False) -> list:
     kids = []
@@ -154,7 +156,7 @@ def _shape(node: Node, link: bool = False) -> list:
         if isinstance(kid, str):
             words = " ".join(kid.split())
             if words:
-                kids.append(["#", "1", False, [hashlib.blake2b(words.encode(), digest_size=8).hexdigest(), len(words), link], []])
+                kids.append(["#", "1", False, [hashlib.blake2b(words.encode(), digest_size=8).hexdigest(), len(words), link, 1], []])
         else:
             kids.append(_shape(kid, link or kid.name == "a"))
     return [node.key, "1", node.other, None, _folded(kids)]
@@ -178,7 +180,7 @@ def _folded(kids: list) -> list:
     out: list = []
     for kid in kids:
         if out and kid[0] == out[-1][0]:
-            out[-1] = merge(out[-1], kid)
+            out[-1] = merge(out[-1], kid, True)
             out[-1][1] = _repeated(out[-1][1])
         else:
             out.append(kid)
@@ -194,19 +196,19 @@ def _folded(kids: list) -> list:
                 continue
             body = out[i : i + size]
             for j in range(1, n):
-                body = [merge(a, b) for a, b in zip(body, out[i + j * size : i + (j + 1) * size])]
+                body = [merge(a, b, True) for a, b in zip(body, out[i + j * size : i + (j + 1) * size])]
             folded.append(["(" + " ".join(k[0] for k in body), "+", False, None, body])
             i += n * size
         out = folded
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The least wrapper of both; their keys are equal."""
+def merge(a: list, b: list, within: bool = False) -> list:
+    """The least wrapper of both; their keys are equal. ``within``: both are of the same page."""
     text = None
     if a[3] is not None:
-        text = [a[3][0] if a[3][0] == b[3][0] else None, a[3][1] + b[3][1], a[3][2] and b[3][2]]
-    return [a[0], _either(a[1], b[1]), a[2], text, _aligned(a[4], b[4])]
+        text = [a[3][0] if a[3][0] == b[3][0] else None, a[3][1] + b[3][1], a[3][2] and b[3][2], 1 if within else a[3][3] + b[3][3]]
+    return [a[0], _either(a[1], b[1]), a[2], text, _aligned(a[4], b[4], within)]
 
 
 def _grouped(kids: list, other: list) -> list:
@@ -221,15 +223,15 @@ def _grouped(kids: list, other: list) -> list:
     return kids
 
 
-def _aligned(a: list, b: list) -> list:
+def _aligned(a: list, b: list, within: bool = False) -> list:
     a, b = _grouped(a, b), _grouped(b, a)
     x, y = [k[0] for k in a], [k[0] for k in b]
     if x == y:
-        return [merge(p, q) for p, q in zip(a, b)]
+        return [merge(p, q, within) for p, q in zip(a, b)]
     out = []
     for kind, i, j, k, l in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [merge(p, q) for p, q in zip(a[i:j], b[k:l])]
+            out += [merge(p, q, within) for p, q in zip(a[i:j], b[k:l])]
         else:  # what one stream lacks is optional
             out += [[n[0], _optional(n[1]), *n[2:]] for n in a[i:j] + b[k:l]]
     return out
@@ -248,6 +250,11 @@ def expression(wrapper: list) -> str:
     return body if q == "1" else f"({body}){'?' if q == '?' else q}"
 
 
+def _template(text: list, pages: int) -> bool:
+    """Whether the text at a place is the template's: one text, of enough pages."""
+    return text[0] is not None and text[3] >= LEAST_PAGES and 2 * text[3] > pages
+
+
 def rules(wrapper: list, pages: int) -> dict:
     """Where the main text lies on pages of this wrapper, and the template's fixed texts."""
     seen = {"article": False, "main": False}
@@ -266,7 +273,7 @@ def rules(wrapper: list, pages: int) -> dict:
         if name in seen:
             seen[name] = True
         inside = inside or name == "article"
-        if node[3] is not None and node[3][0] is not None and not inside and pages >= LEAST_PAGES:
+        if node[3] is not None and not inside and _template(node[3], pages):
             fixed.append(node[3][0])
         for kid in node[4]:
             walk(kid, inside)

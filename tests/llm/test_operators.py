@@ -478,3 +478,22 @@ def test_alignment_makes_optional_and_repeated_groups():
     for s in shapes[1:]:
         wrapper = html_extract.merge(wrapper, s)
     assert html_extract.expression(wrapper) == "<> (<h1> #fixed </h1>)? <dl> ((<dt> #TEXT </dt> <dd> #TEXT </dd>))+ </dl> (<hr/>)? </>"
+
+
+def ruled(pages):
+    """The pages' main texts under the rules of their common wrapper."""
+    shapes = [html_extract._shape(html_extract.tree(p)) for p in pages]
+    wrapper = shapes[0]
+    for s in shapes[1:]:
+        wrapper = html_extract.merge(wrapper, s)
+    rule = html_extract.rules(wrapper, len(pages))
+    return [html_extract.extract(p, rule) for p in pages]
+
+
+def test_texts_of_one_page_are_not_the_templates():
+    pages = [f"<body><div class=tag>Welcome</div><div class=story><p>{n} words</p></div></body>" for n in ("one", "two", "three", "four")]
+    pages[1] = pages[1].replace("</p>", "</p><blockquote>only here</blockquote><h3>Alone</h3>")
+    pages[2] = pages[2].replace("</p>", "</p><ul><li>same<li>same<li>same</ul>")
+    assert ruled(pages) == ["one words", "two words\nonly here\nAlone", "three words\nsame\nsame\nsame", "four words"]
+    strangers = [f"<body><div class={n}><p>all of {n}</p></div></body>" for n in ("red", "green", "blue", "grey")]
+    assert ruled(strangers) == [f"all of {n}" for n in ("red", "green", "blue", "grey")]
