@@ -259,6 +259,15 @@ def test_near_dedup_cases(spark):
     assert near_dedup.classify(empty(spark)).count() == 0 and near_dedup.deduplicate(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bands", [1, 2])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, bands):
+    docs = frame(spark, copies(random.Random(15)))
+    want = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs, rows=1, bands=bands).collect()}
+    monkeypatch.setattr(near_dedup, "SPLIT", 2)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs, rows=1, bands=bands).collect()}
+    assert got == want and len(set(got.values())) < len(got) - 40
+
+
 # 5 toxicity
 
 def marked(rng, n=400):
