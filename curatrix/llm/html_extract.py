@@ -12,7 +12,8 @@ a third of all pages is no task's burden.
 From the wrapper follow the host's rules: where the main text lies, and which
 fixed texts outside an article are the template's: those that ``LEAST_PAGES``
 pages and more than half of the host's have at one place. The main text is the article
-(else the main element, else the deepest container that holds most slot text)
+(else the main element, else the deepest container outside which no page of the
+host has text but the template's and links; on hosts of few pages the whole page)
 without the parts that tags, roles, classes or ids name as menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments. A heading in an
 article's own header stays.
@@ -208,7 +209,7 @@ def merge(a: list, b: list, within: bool = False) -> list:
     text = None
     if a[3] is not None:
         text = [a[3][0] if a[3][0] == b[3][0] else None, a[3][1] + b[3][1], a[3][2] and b[3][2], 1 if within else a[3][3] + b[3][3]]
-    return [a[0], _either(a[1], b[1]), a[2], text, _aligned(a[4], b[4], within)]
+    return [a[0], _either(a[1], b[1]), a[2] and b[2], text, _aligned(a[4], b[4], within)]
 
 
 def _grouped(kids: list, other: list) -> list:
@@ -263,7 +264,7 @@ def rules(wrapper: list, pages: int) -> dict:
     def weight(node: list) -> int:
         if node[2]:
             return 0
-        own = node[3][1] if node[3] is not None and node[3][0] is None and not node[3][2] else 0
+        own = node[3][1] if node[3] is not None and not node[3][2] and not _template(node[3], pages) else 0
         return own + sum(map(weight, node[4]))
 
     def walk(node: list, inside: bool) -> None:
@@ -280,12 +281,12 @@ def rules(wrapper: list, pages: int) -> dict:
 
     walk(wrapper, False)
     path: list[str] = []
-    if not any(seen.values()):
+    if not any(seen.values()) and pages >= LEAST_PAGES:
         node = wrapper
         while True:
             total = weight(node)
             best = max(node[4], key=weight, default=None)
-            if best is None or best[0] == "#" or weight(best) < 0.7 * total or not total or best[1] in "+*":
+            if best is None or best[0] == "#" or weight(best) < total or not total or best[1] in "+*":
                 break
             if best[0][:1] != "(":
                 path.append(best[0])

@@ -506,3 +506,12 @@ def test_texts_of_one_page_are_not_the_templates():
     assert ruled(pages) == ["one words", "two words\nonly here\nAlone", "three words\nsame\nsame\nsame", "four words"]
     strangers = [f"<body><div class={n}><p>all of {n}</p></div></body>" for n in ("red", "green", "blue", "grey")]
     assert ruled(strangers) == [f"all of {n}" for n in ("red", "green", "blue", "grey")]
+
+
+def test_no_text_beside_the_main_container_is_lost():
+    usual = [f"<body><div class=top>Welcome</div><div class=page><div class=intro>Intro {n}</div><div class=story><p>{n} " + "word " * 30 + "</p></div></div></body>" for n in range(8)]
+    rare = [f"<body><div class=top>Welcome</div><div class=page><div class=story><p>Short {n}</p></div><div class=other-text><p>{n} " + "long " * 40 + "</p></div></div></body>" for n in range(2)]
+    want = [f"Intro {n}\n{n} " + " ".join(["word"] * 30) for n in range(8)] + [f"Short {n}\n{n} " + " ".join(["long"] * 40) for n in range(2)]
+    assert ruled(usual + rare) == want and ruled(usual) == want[:8] and ruled(rare) == ["Welcome\n" + w for w in want[8:]]
+    mixed = [f"<body><div class=box id={'x' if n else 'comments'}><p>Text {n}</p></div><div class=story><p>{n} more</p></div></body>" for n in range(4)]
+    assert ruled(mixed) == ["0 more", *(f"Text {n}\n{n} more" for n in range(1, 4))]
