@@ -15,8 +15,10 @@ pages and more than half of the host's have at one place. The main text is the a
 (else the main element, else the deepest container outside which no page of the
 host has text but the template's and links; on hosts of few pages the whole page)
 without the parts that tags, roles, classes or ids name as menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments. A heading in an
-article's own header stays.
+footers, sidebars, notices, adverts, forms or reader comments. An id names one
+only as a whole: all of its words must be such words, or outside an article words
+of place; a heading's id names nothing, and its classes count as a whole too. A
+heading in an article's own header stays.
 
 Defined cases: null or empty html gives empty text. A null url is a host of its
 own name, the empty one. Unclosed and stray tags are borne; nesting beyond
@@ -67,6 +69,10 @@ _OTHER_WORDS = frozenset(
     "search form pagination pager copyright legal disclaimer skip".split()
 )
 
+# Words that only place a region which other words of its id name.
+_PLACE_WORDS = frozenset("site page main primary secondary global top bottom left right container wrapper wrap area block box bar list".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -76,20 +82,31 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its tag, its key in a wrapper, whether it is other than main text."""
 
-    __slots__ = ("name", "key", "other", "kids")
+    __slots__ = ("name", "key", "other", "kids", "within")
 
     def __init__(self, name: str, key: str, other: bool):
         self.name, self.key, self.other, self.kids = name, key, other, []
+        self.within = False  # whether it is an article or in one
+
 
+def _names_other(token: str, place: frozenset = frozenset()) -> bool:
+    """Whether all words of a class or id say that a region is other than main text."""
+    words = {w.lower() for w in _WORD.findall(token)}
+    return not _OTHER_WORDS.isdisjoint(words) and words <= _OTHER_WORDS | place
 
-def _element(name: str, attributes: str) -> Node:
+
+def _element(name: str, attributes: str, within: bool = False) -> Node:
     if not attributes.strip():
         return Node(name, name, name in _OTHER_TAGS)
     found = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(attributes)}
-    classes = [w.lower() for w in _WORD.findall(found.get("class", "") + " " + found.get("id", ""))]
+    if name in _HEADINGS:
+        named = any(map(_names_other, found.get("class", "").split()))
+    else:
+        named = not _OTHER_WORDS.isdisjoint([w.lower() for w in _WORD.findall(found.get("class", ""))])
+        named = named or _names_other(found.get("id", ""), frozenset() if within else _PLACE_WORDS)
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    other = name in _OTHER_TAGS or role in _OTHER_ROLES or hidden or name not in ("html", "body") and not _OTHER_WORDS.isdisjoint(classes)
+    other = name in _OTHER_TAGS or role in _OTHER_ROLES or hidden or name not in ("html", "body") and named
     kind = "main" if role == "main" else name
     return Node(kind, ".".join([kind, *sorted({w.lower() for w in _WORD.findall(found.get("class", ""))})]), other)
 
@@ -136,7 +153,9 @@ def tree(page: str) -> Node:
             close({"p"}, _BLOCK - {"p"})
         if name in _ENDS:
             close(*_ENDS[name])
-        node = _element(name, found[3])
+        within = stack[-1][1].within
+        node = _element(name, found[3], within)
+        node.within = within or node.name == "article"
         if len(stack) > DEEPEST:
             stack.append((name, stack[-1][1]))
             continue
@@ -327,7 +346,7 @@ def extract(page: str | None, rule: dict | None = None) -> str:
                     flush()
             else:
                 only = heading_only or node.name == "header" and node is not top
-                if only and node.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                if only and node.name in _HEADINGS:
                     only = False
                 if node.name in _BLOCK or node.name == "main":
                     flush()

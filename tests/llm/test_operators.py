@@ -515,3 +515,9 @@ def test_no_text_beside_the_main_container_is_lost():
     assert ruled(usual + rare) == want and ruled(usual) == want[:8] and ruled(rare) == ["Welcome\n" + w for w in want[8:]]
     mixed = [f"<body><div class=box id={'x' if n else 'comments'}><p>Text {n}</p></div><div class=story><p>{n} more</p></div></body>" for n in range(4)]
     assert ruled(mixed) == ["0 more", *(f"Text {n}\n{n} more" for n in range(1, 4))]
+
+
+def test_slugs_do_not_make_a_region_other():
+    page = "<article><h2 id=social-life>Social life</h2><section id=search-methods><p>Found</section><h3 id=legal>Legal</h3><h3 class=section-header>Part</h3><div id='related-work'>Work</div><p id=list-form>Form</p><div id=comments>nice!</div></article>"
+    assert html_extract.extract(page) == "Social life\nFound\nLegal\nPart\nWork\nForm"
+    assert html_extract.extract("<div id=site-footer>x</div><div id=cookieNotice>y</div><div id=main-nav>z</div><div id=form-of-life>kept</div>") == "kept"
