@@ -10,7 +10,9 @@ patterns are compared word by word.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no patterns. Repeated rows get the same result each. A text of any
-length is searched whole. Equal item ids count once. Columns other than those
+length is searched whole. Equal item ids count once. Items without an id are
+searched for like others; those found are together one null, the last of
+``items``, as in the query's SQL, where it counts but is not in the hash. Columns other than those
 read cannot clash. An empty benchmark finds nothing, an empty table gives no
 rows.
 """
@@ -102,7 +104,7 @@ class Matcher:
         items: set[str] = set()
         for of in self.lengths:
             of.search(ids, found, items)
-        return len(ids), _merged(found), sorted(items)
+        return len(ids), _merged(found), sorted(items, key=lambda i: (i is None, i or ""))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -150,7 +152,7 @@ def decontaminate(
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        search = searcher([(r["item"], r["text"]) for r in part.collect() if r["item"] is not None], spark, window)
+        search = searcher([(r["item"], r["text"]) for r in part.collect()], spark, window)
         if blocks == 1:
             return _shaped(rows.select("doc_id", search("text").alias("f")))
         key = [F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")]
@@ -196,7 +198,7 @@ def n_hit(spans: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without an occurrence, with all their columns."""
-    items = benchmark.select(col(item_col).cast("string").alias("item"), col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL")
+    items = benchmark.select(col(item_col).cast("string").alias("item"), col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for block in range(blocks):

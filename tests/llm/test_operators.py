@@ -408,6 +408,16 @@ def test_decontamination_cases(spark):
     assert decontaminate.clean(odd(spark), none).columns == odd(spark).columns
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 30])
+def test_items_without_an_id_are_searched_for(spark, block_bytes):
+    items = frame(spark, [(None, "one two three"), (7, "four five six seven"), (None, "eight nine ten"), (8, None)], "item_id long, text string")
+    docs = frame(spark, [(1, "a one two three b eight nine ten"), (2, "four five six seven one two three"), (3, "four five six seven"), (4, "none")])
+    found = decontaminate.decontaminate(docs, items, block_bytes=block_bytes)
+    got = {r["doc_id"]: (r["h"], r["items"]) for r in found.withColumn("h", decontaminate.n_hit(F.col("spans"))).collect()}
+    assert got == {1: (6, [None]), 2: (7, ["7", None]), 3: (4, ["7"]), 4: (0, [])}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items, block_bytes=block_bytes).collect()] == [4]
+
+
 # 9 fingerprints
 
 def test_prefix_arrays_answer_spans_and_extensions():
