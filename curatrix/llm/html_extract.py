@@ -21,8 +21,9 @@ of place; a heading's id names nothing, and its classes count as a whole too. A
 heading in an article's own header stays.
 
 Defined cases: null or empty html gives empty text. A null url is a host of its
-own name, the empty one. Unclosed and stray tags are borne; nesting beyond
-``DEEPEST`` levels counts as that level. Pages are read whole. Repeated rows
+own name, the empty one. Unclosed and stray tags are borne. Nesting has no limit
+where texts are taken out; in wrappers the texts beyond ``DEEPEST`` levels stand at
+that level. Pages are read whole. Repeated rows
 give repeated results. Other columns are not read. An empty table gives no rows.
 """
 
@@ -156,9 +157,6 @@ def tree(page: str) -> Node:
         within = stack[-1][1].within
         node = _element(name, found[3], within)
         node.within = within or node.name == "article"
-        if len(stack) > DEEPEST:
-            stack.append((name, stack[-1][1]))
-            continue
         stack[-1][1].kids.append(node)
         stack.append((name, node))
     text(page[at:])
@@ -170,15 +168,26 @@ def tree(page: str) -> Node:
 # the hash is null once texts differ, and pages is how many have a text there. A
 # group of siblings has the key "(".
 
-def _shape(node: Node, link: bool = False) -> list:
+def _texts(node: Node, link: bool) -> Iterator[tuple[str, bool]]:
+    """All texts under a node that are not part of something else, and whether they are links."""
+    todo = [(kid, link) for kid in reversed(node.kids)]
+    while todo:
+        kid, link = todo.pop()
+        if isinstance(kid, str):
+            yield kid, link
+        elif not kid.other:
+            todo.extend((k, link or kid.name == "a") for k in reversed(kid.kids))
+
+
+def _shape(node: Node, link: bool = False, level: int = 0) -> list:
     kids = []
-    for kid in node.kids:
+    for kid, linked in ((k, link) for k in node.kids) if level < DEEPEST else _texts(node, link):
         if isinstance(kid, str):
             words = " ".join(kid.split())
             if words:
-                kids.append(["#", "1", False, [hashlib.blake2b(words.encode(), digest_size=8).hexdigest(), len(words), link, 1], []])
+                kids.append(["#", "1", False, [hashlib.blake2b(words.encode(), digest_size=8).hexdigest(), len(words), linked, 1], []])
         else:
-            kids.append(_shape(kid, link or kid.name == "a"))
+            kids.append(_shape(kid, link or kid.name == "a", level + 1))
     return [node.key, "1", node.other, None, _folded(kids)]
 
 

@@ -531,3 +531,11 @@ def test_slugs_do_not_make_a_region_other():
     page = "<article><h2 id=social-life>Social life</h2><section id=search-methods><p>Found</section><h3 id=legal>Legal</h3><h3 class=section-header>Part</h3><div id='related-work'>Work</div><p id=list-form>Form</p><div id=comments>nice!</div></article>"
     assert html_extract.extract(page) == "Social life\nFound\nLegal\nPart\nWork\nForm"
     assert html_extract.extract("<div id=site-footer>x</div><div id=cookieNotice>y</div><div id=main-nav>z</div><div id=form-of-life>kept</div>") == "kept"
+
+
+def test_deep_nesting_keeps_blocks_and_other_regions(spark):
+    deep = "<div>" * 600 + "<p>a<p>b<nav>menu</nav><form>Name</form>" + "</div>" * 600
+    assert html_extract.extract(deep) == "a\nb"
+    rows = [(i, "http://deep.example/", deep.replace("<p>a", f"<p>a{i}")) for i in range(4)]
+    got = html_extract.main_texts(frame(spark, rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"a{i}\nb" for i in range(4)}
