@@ -28,6 +28,8 @@ PHOTOS = (
     "taken string, faces array<struct<box:array<double>,embedding:array<double>,face_pixels:double>>"
 )
 ASSESSED = "key string, result string"
+#: Unreadable files listed in run.json itself; the folder errors beside it has every one.
+LISTED_ERRORS = 1000
 REFERENCES = "path string, sha256 string, embedding array<double>"
 
 
@@ -191,9 +193,11 @@ class Project:
         for item in best:
             item |= {"summary": item["a"]["summary"], "scores": item.pop("a")["scores"]}
         variety = selection.variety(chosen).first().asDict() | {"max_per_day": self.config.selection.max_per_day, "min_visual_distance": self.config.selection.min_visual_distance}
-        errors = [r.asDict() for r in self.photos.read().where("error IS NOT NULL").select("path", "error").orderBy("path").limit(1000).collect()]
+        unread = self.photos.read().where("error IS NOT NULL").select("path", "error")
+        unread.write.mode("errorifexists").json(str(out / "errors"))  # all of them; the report lists the first
+        errors = [r.asDict() for r in unread.orderBy("path").limit(LISTED_ERRORS).collect()]
         sinks.write_json(out / "run.json", {
-            "config": self.config.to_dict(), "coverage": coverage | {"errors": errors}, "assessment_signature": self.config.signature(self.revision),
+            "config": self.config.to_dict(), "coverage": coverage | {"errors": errors, "errors_listed": len(errors), "all_errors": str(out / "errors")}, "assessment_signature": self.config.signature(self.revision),
             "requested": top, "recommended": len(best), "diversity": variety,
         })
         sinks.write_json(out / "recommendations.json", best)

@@ -110,6 +110,17 @@ def test_run_rerank_and_drift(project):
         project().rank()
 
 
+def test_every_unreadable_file_is_reported(project, monkeypatch):
+    monkeypatch.setattr("curatrix.plans.pipeline.LISTED_ERRORS", 1)
+    for i in range(3):
+        (project.library / f"bad{i}.png").write_bytes(b"no picture")
+    out = project().run()
+    run = json.loads((out / "run.json").read_text())["coverage"]
+    rows = [json.loads(line) for p in (out / "errors").glob("*.json") for line in p.read_text().splitlines()]
+    assert {r["path"] for r in rows} == {str(project.library / n) for n in ("broken.png", "bad0.png", "bad1.png", "bad2.png")} and all(r["error"] for r in rows)
+    assert run["read_errors"] == 4 and run["errors_listed"] == len(run["errors"]) == 1 and run["all_errors"] == str(out / "errors")
+
+
 def test_scan_is_incremental(project):
     p = project()
     p.enroll()
