@@ -10,12 +10,13 @@ from pathlib import Path
 
 from curatrix.functions.text import fingerprint
 
-# What an assessment may call an item, and the version marks that
-# stored results depend on.
+# What an assessment may call an item.
 CATEGORIES = ("portrait", "full_body", "activity", "social", "other")
-PIPELINE = 3
-
+# How stored scans are made; a change has every file read anew.
+PIPELINE = "faces-2"
+# The form of a criterion's name, and what two limits are unless they are set.
 _NAME = re.compile(r"[a-z][a-z0-9_]{0,39}")
+_LIMITS = {"max_per_day": 1, "min_visual_distance": 12}
 
 
 class ConfigError(ValueError):
@@ -157,7 +158,7 @@ def parse(raw: dict, base: Path) -> Config:
     paths = _exactly("paths", raw["paths"], {"library", "references"})
     names = lambda cls: {f.name for f in fields(cls)}
     recognition = _exactly("recognition", raw["recognition"], names(Recognition))
-    selection = _exactly("selection", raw["selection"], names(Selection), {"max_per_day": 1, "min_visual_distance": 12})
+    selection = _exactly("selection", raw["selection"], names(Selection), _LIMITS)
     vision = _exactly("vision", raw["vision"], names(Assessment))
     if not isinstance(vision["exclude"], list):
         raise ConfigError("exclude must be a list of texts that are not blank")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "bmp", "heic", "heif", "avif")
 FORMULA_STARTS = "=+-@"
 
-# A date of the years 1900-2099 that no other digit touches; the first one counts.
+# Fixed value: a date of the years 1900-2099 that no other digit touches; the first one counts.
 _DATE = r"(?<![0-9])((?:19|20)[0-9]{2})[-_]?([01][0-9])[-_]?([0-3][0-9])(?![0-9])"
 
 
@@ -28,6 +28,12 @@ def relative(path: Column, root: Column) -> Column:
     return F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substr(path, F.length(root) + 2)).otherwise(path)
 
 
+def traversal(path: Column) -> Column:
+    """A key that sorts paths as a folder tree is walked: a folder's files by name, then the folders below by name."""
+    folders, name = F.regexp_extract(path, "^(.*/)?([^/]*)$", 1), F.regexp_extract(path, "([^/]*)$", 1)
+    return F.concat(F.regexp_replace(folders, "([^/]*)/", "1$1\u0001"), F.lit("0"), name)
+
+
 def date_in_path(path: Column) -> Column:
     """The date that the path's first date-like digits name; null if there is no such day."""
     parts = [F.regexp_extract(path, _DATE, i) for i in (1, 2, 3)]

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.functions.vectors import bound
+
 #: The least confidence, the overlap that suppresses, the first
 #: scale's longest side.
 CONFIDENCE, OVERLAP, FIRST_SIDE = 0.5, 0.4, 640
@@ -14,11 +16,6 @@ def scales(width: Column, height: Column, max_side: int) -> Column:
     return F.array_distinct(F.array(*[F.least(F.lit(1.0), F.lit(float(s)) / longest) for s in (min(FIRST_SIDE, max_side), max_side)]))
 
 
-def rescale(box: Column, scale: Column) -> Column:
-    """A box found at a scale, in the image's own pixels."""
-    return F.transform(box, lambda x: x / scale)
-
-
 def clamp(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
     """struct(x, y, w, h) inside the image."""
     left, top = F.greatest(F.lit(0.0), x1), F.greatest(F.lit(0.0), y1)
@@ -31,6 +28,34 @@ def measures(box: Column, width: Column, height: Column) -> tuple[Column, Column
     return F.least(box["w"], box["h"]), box["w"] * box["h"] / (width * height)
 
 
+def sharpness(gray: Column, side: int) -> Column:
+    """struct(blur, brightness) of a square of gray values, line by line: the variance of its Laplacian, and its mean.
+
+    Beyond an edge the values are mirrored at the outermost line, which is not repeated.
+    """
+
+    def near(v: Column, line: Column, column: Column) -> Column:
+        inside = lambda k: F.abs(F.lit(side - 1) - F.abs(F.lit(side - 1) - F.abs(k)))
+        return F.get(v, (inside(line) * side + inside(column)).cast("int"))
+
+    def edge(v: Column, i: Column) -> Column:
+        line, column = F.floor(i / side), i % side
+        around = near(v, line - 1, column) + near(v, line + 1, column) + near(v, line, column - 1) + near(v, line, column + 1)
+        return (around - 4 * F.get(v, i)).cast("double")
+
+    def mean(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+
+    def variance(v: Column) -> Column:
+        return bound(F.struct(v.alias("v"), mean(v).alias("m")), lambda p: mean(F.transform(p["v"], lambda x: (x - p["m"]) * (x - p["m"]))))
+
+    def both(v: Column) -> Column:
+        edges = F.transform(v, lambda x, i: edge(v, i))
+        return F.struct(bound(edges, variance).alias("blur"), mean(F.transform(v, lambda x: x.cast("double"))).alias("brightness"))
+
+    return bound(gray, both)
+
+
 def usable(box: Column, confidence: Column) -> Column:
     return (box["w"] > 0) & (box["h"] > 0) & (confidence >= CONFIDENCE)
 

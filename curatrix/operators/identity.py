@@ -1,10 +1,10 @@
 """Identity: enrolled references, and how like them a face is."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.functions.vectors import checked_unit, dot, top_two_mean
+from curatrix.functions.vectors import bound, checked_unit, dot, top_two_mean
 
 #: The least side of a reference face, and the least likeness of a
 #: reference to another one.
@@ -30,16 +30,22 @@ def score(faces: DataFrame, refs: DataFrame, vector_col: str = "embedding", out:
     """``faces`` with the mean of the two greatest likenesses to the references.
 
     The references are a scalar subquery, one bounded value for all tasks, so
-    faces are neither shuffled nor multiplied.
+    faces are neither shuffled nor multiplied. A face's vector is brought to
+    length one once, for all references.
     """
-    own = checked_unit(F.col(vector_col))
-    joined = faces.withColumn("_unit", own).withColumn("_refs", reference_set(refs).scalar())
-    likeness = top_two_mean(F.transform("_refs", lambda r: dot(F.col("_unit"), r["unit"])))
-    return joined.withColumn(out, likeness).drop("_unit", "_refs")
+    return faces.withColumn("_refs", reference_set(refs).scalar()).withColumn(out, _likeness(vector_col)).drop("_refs")
+
+
+def _likeness(vector_col: str) -> Column:
+    both = F.struct(checked_unit(F.col(vector_col)).alias("own"), F.col("_refs").alias("refs"))
+    return top_two_mean(bound(both, lambda p: F.transform(p["refs"], lambda r: dot(p["own"], r["unit"]))))
 
 
 def matches(faces: DataFrame, refs: DataFrame, threshold: float, vector_col: str = "embedding") -> DataFrame:
-    return score(faces, refs, vector_col).where(F.col("similarity") >= threshold)
+    """The faces at least so like the references. The likeness that filters is the one returned, computed once."""
+    known = faces.withColumn("_refs", reference_set(refs).scalar())
+    likely = F.filter(F.array(_likeness(vector_col)), lambda s: s >= threshold)
+    return known.select("*", F.explode(likely).alias("similarity")).drop("_refs")
 
 
 def best_face(scored: DataFrame, photo_col: str = "photo_id", pos_col: str = "face_pos") -> DataFrame:
@@ -59,11 +65,13 @@ def with_best_face(photos: DataFrame, scored: DataFrame, photo_col: str = "photo
 
 
 def peers(refs: DataFrame) -> DataFrame:
-    """Per reference: the greatest likeness to another one."""
-    units = refs.select("ref_id", checked_unit(F.col("embedding")).alias("unit"))
-    other = units.select(F.col("ref_id").alias("other_id"), F.col("unit").alias("other"))
-    pairs = units.join(F.broadcast(other), F.col("ref_id") != F.col("other_id")).select("ref_id", dot(F.col("unit"), F.col("other")).alias("s"))
-    return pairs.groupBy("ref_id").agg(F.max("s").alias("best_peer"), F.min("s").alias("least_peer"))
+    """Per reference: the greatest and the least likeness to another one; of a counted number of references."""
+    others = F.filter(F.col("refs"), lambda r: r["ref_id"] != F.col("ref_id"))
+    both = F.struct(checked_unit(F.col("embedding")).alias("own"), others.alias("others"))
+    scores = bound(both, lambda p: F.transform(p["others"], lambda r: dot(p["own"], r["unit"])))
+    ends = bound(scores, lambda s: F.struct(F.array_max(s).alias("best_peer"), F.array_min(s).alias("least_peer")))
+    refs = refs.select("ref_id", "embedding", reference_set(refs).scalar().alias("refs"))
+    return refs.select("ref_id", ends.alias("e")).where(F.col("e.best_peer").isNotNull()).select("ref_id", "e.best_peer", "e.least_peer")
 
 
 def centroid(refs: DataFrame) -> DataFrame:

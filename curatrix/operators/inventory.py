@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.functions.text import traversal
+
 VERSION = ("size", "mtime_ns")
 
 
@@ -32,11 +34,11 @@ def vanished(listing: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def pending(listing: DataFrame, stored: DataFrame, config: str, limit: int | None = None) -> DataFrame:
-    """The listed rows to process, in order of path; a limit counts these alone."""
+    """The listed rows to process; a limit counts these alone, and takes the first as the folders are walked."""
     same = [listing[c] == stored[c] for c in ("path", *VERSION)]
     valid = stored["error"].isNull() & (stored["config"] == config)
     rows = listing.join(stored, same[0] & same[1] & same[2] & valid, "left_anti")
-    return rows.orderBy("path").limit(limit) if limit else rows
+    return rows.orderBy(traversal(F.col("path")), "path").limit(limit) if limit else rows
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, listing: DataFrame | None = None) -> DataFrame:

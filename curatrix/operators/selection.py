@@ -1,7 +1,7 @@
 """Selection: weighted scores, exclusions, near duplicates, a varied best few."""
 
-import tempfile
 from datetime import date
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions.vectors import aspect_gap, hamming
+from curatrix.sources.tables import cut
 
 #: Fixed value: how far two aspect ratios may differ and still be the same look.
 ASPECT = 0.1
+#: Radius from which quarters of a hash are no longer enumerated.
+WIDE = 16
 
 
 def weighted_score(scores: Column, weights: dict[str, float]) -> Column:
@@ -38,47 +41,73 @@ def status(excluded: Column, day: Column, score: Column, minimum: float, not_bef
     return out.when(score < minimum, "below_minimum_score").otherwise("eligible")
 
 
+def _near_looks(looks: DataFrame, radius: int) -> DataFrame:
+    """(a, b): ordered pairs of different looks within ``radius`` bits, b of like aspect to a.
+
+    ``looks`` has look, phash, width and height, each look once. Hashes within r
+    bits differ by at most r // 4 bits in one of their four quarters, so the one
+    side is put under each quarter's values, the other under all values that
+    differ from them by so many bits, and they meet in an equi-join. From
+    ``WIDE`` bits on, such values are a large share of all, and the hash no
+    longer tells looks apart; then every look is compared with every other.
+    """
+    left, right = (looks.select(*[F.col(c).alias(f"{c}_{side}") for c in ("look", "phash", "width", "height")]) for side in "ab")
+    close = (
+        (hamming(F.col("phash_a"), F.col("phash_b")) <= radius) & (F.col("look_a") != F.col("look_b"))
+        & (aspect_gap(F.col("width_b"), F.col("height_b"), F.col("width_a"), F.col("height_a")) < ASPECT)
+    )
+    if radius >= WIDE:
+        return left.join(right, close).select(F.col("look_a").alias("a"), F.col("look_b").alias("b"))
+
+    def quarter(side: str, i: int, masks: list[int]) -> Column:
+        own = F.shiftrightunsigned(F.col(f"phash_{side}"), 16 * i).bitwiseAND(0xFFFF)
+        return F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.lit(i).alias("i"), own.bitwiseXOR(m).alias("v")))
+
+    def quarters(side: str, masks: list[int]) -> Column:
+        return F.explode(F.flatten(F.array(*[quarter(side, i, masks) for i in range(4)])))
+
+    masks = [sum(1 << k for k in bits) for n in range(radius // 4 + 1) for bits in combinations(range(16), n)]
+    met = left.withColumn("quarter", quarters("a", [0])).join(right.withColumn("quarter", quarters("b", masks)), "quarter").where(close)
+    return met.select(F.col("look_a").alias("a"), F.col("look_b").alias("b")).distinct()
+
+
+def _looks(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``items`` with their look, and the different looks: equal hashes and sizes are one."""
+    look = F.struct("phash", "width", "height")
+    items = items.withColumn("look", look)
+    return items, items.where("phash IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL").select("look", "phash", "width", "height").distinct()
+
+
 def near_pairs(items: DataFrame, radius: int, key: str = "path") -> DataFrame:
-    """(a, b): pairs within ``radius`` bits and of like aspect, b ranked after a.
+    """(a, b, rank_a): pairs within ``radius`` bits and of like aspect, b ranked after a.
 
-    By the pigeonhole principle two hashes within r bits agree in one of r + 1
-    bands, so candidates meet in an equi-join on bands. Where bands would be
-    under four bits wide, they stop telling hashes apart and the comparison is a
-    plain theta join of the two sides.
+    Different looks are compared, once each, and their items joined to the pairs
+    that hold: the result names every pair, so its size is that of the answer.
     """
-    cols = [key, "rank_no", "phash", "width", "height"]
-    left, right = items.select(*[F.col(c).alias(f"{c}_a") for c in cols]), items.select(*[F.col(c).alias(f"{c}_b") for c in cols])
-    close = (hamming(F.col("phash_a"), F.col("phash_b")) <= radius) & (
-        aspect_gap(F.col("width_b"), F.col("height_b"), F.col("width_a"), F.col("height_a")) < ASPECT
-    ) & (F.col("rank_no_a") < F.col("rank_no_b"))
-    bands = radius + 1
-    if 64 // bands >= 4:
-        cuts = [64 * i // bands for i in range(bands + 1)]
-
-        def banded(df: DataFrame, side: str) -> DataFrame:
-            parts = [
-                F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft(F.col(f"phash_{side}"), 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i]).alias("v"))
-                for i in range(bands)
-            ]
-            return df.withColumn("band", F.explode(F.array(*parts)))
-
-        pairs = banded(left, "a").join(banded(right, "b"), "band").where(close)
-    else:
-        pairs = left.join(right, close)
-    return pairs.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"), F.col("rank_no_a").alias("rank_a")).distinct()
+    items, looks = _looks(items)
+    same = looks.select(F.col("look").alias("a"), F.col("look").alias("b"))
+    edges = _near_looks(looks, radius).unionByName(same) if radius >= 0 else same.limit(0)
+    first = items.select(F.col("look").alias("a"), F.col(key).alias("first"), F.col("rank_no").alias("rank_a"))
+    later = items.select(F.col("look").alias("b"), F.col(key).alias("later"), F.col("rank_no").alias("rank_b"))
+    pairs = edges.join(first, "a").join(later, "b").where("rank_a < rank_b")
+    return pairs.select(F.col("first").alias("a"), F.col("later").alias("b"), "rank_a")
 
 
 def ranked(items: DataFrame, key: str = "path") -> DataFrame:
-    """``items`` with rank_no, a total order by score and path.
+    """``items`` with rank_no, a total order by score and path."""
+    return numbered(items, F.desc("score"), F.asc(key))
+
+
+def numbered(items: DataFrame, *order: Column) -> DataFrame:
+    """``items`` with rank_no, from 1 in the given order, which must leave no ties.
 
-    Numbers come from a range sort and per-partition offsets, so no task holds
-    all rows; only the offsets of the partitions, one number each, pass through
-    the driver.
+    Numbers come from a range sort, written out so that they stay as they are,
+    and per-partition offsets, so no task holds all rows; only the offsets of the
+    partitions, one number each, pass through the driver.
     """
     spark = items.sparkSession
-    order = items.orderBy(F.desc("score"), F.asc(key)).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    order = order.cache()
-    sizes = order.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("first")).orderBy("_p").collect()
+    rows = cut(items.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("first")).orderBy("_p").collect()
     offsets, at = [], 0
     for r in sizes:
         offsets.append((r["_p"], at - r["first"]))
@@ -86,54 +115,55 @@ def ranked(items: DataFrame, key: str = "path") -> DataFrame:
     if not offsets:
         return items.withColumn("rank_no", F.lit(0).cast("bigint"))
     table = spark.createDataFrame(offsets, "_p int, _o bigint")
-    return order.join(F.broadcast(table), "_p").withColumn("rank_no", F.col("_i") + F.col("_o") + 1).drop("_p", "_i", "_o")
+    return rows.join(F.broadcast(table), "_p").withColumn("rank_no", F.col("_i") + F.col("_o") + 1).drop("_p", "_i", "_o")
 
 
-def dedupe(items: DataFrame, radius: int, key: str = "path", rounds: int = 1_000) -> DataFrame:
+def dedupe(items: DataFrame, radius: int, key: str = "path") -> DataFrame:
     """(key, kept, duplicate_of): keep an item unless it matches a kept one ranked before it.
 
     Matches are equal contents, whatever the aspect, or hashes within ``radius``
     (none if it is negative) of like aspect. This is the first maximal
     independent set in rank order. It is found in rounds: an item is kept once
-    no match before it is undecided or kept, and dropped once one is kept.
-    ``duplicate_of`` is the kept item of equal content, else the best-ranked kept
-    match.
+    no match before it is undecided or kept, and dropped once one is kept. Each
+    round decides the best-ranked undecided item at least, so the rounds end when
+    all are decided. ``duplicate_of`` is the kept item of equal content, else the
+    best-ranked kept match.
+
+    No pairs of items are made. Of a content, and of a look with the looks near
+    it, a round needs no more than the best rank that is kept and the best that
+    is undecided, so a group of copies costs one row a member.
     """
-    items = ranked(items.select(key, "score", "sha256", "phash", "width", "height"), key)
-    first = items.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha256")
-    shared = items.join(first, "sha256").select("sha256", F.col(key).alias("k"), "rank_no")
-    later = shared.select("sha256", F.col("k").alias("b"), F.col("rank_no").alias("rank_b"))
-    exact = shared.join(later, "sha256").where("rank_no < rank_b").select(F.col("k").alias("a"), "b", F.col("rank_no").alias("rank_a"), F.lit(True).alias("same"))
-    edges = exact
+    items, looks = _looks(ranked(items.select(key, "score", "sha256", "phash", "width", "height"), key))
+    items = cut(items.select(F.col(key).alias("k"), "rank_no", "sha256", "look"))
+    near = None
     if radius >= 0:
-        edges = edges.unionByName(near_pairs(items, radius, key).withColumn("same", F.lit(False)))
-    edges = edges.groupBy("a", "b", "rank_a").agg(F.max("same").alias("same")).cache()
-    state = items.select(F.col(key).alias("k")).withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
-        seen = edges.join(state.select(F.col("k").alias("a"), F.col("kept").alias("ka")), "a").groupBy("b").agg(
-            F.max(F.coalesce(F.col("ka"), F.lit(False))).alias("hit"), F.max(F.col("ka").isNull()).alias("open")
-        )
-        state = state.join(seen, state["k"] == seen["b"], "left").select(
-            "k", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)).alias("kept")
-        )
-        state = _cut(state)
-        if not state.where("kept IS NULL").limit(1).count():
-            break
-    owner = edges.join(state.where("kept").select(F.col("k").alias("a")), "a").groupBy("b").agg(
-        F.min(F.struct((~F.col("same")).alias("other"), "rank_a", "a")).alias("best")
-    )
-    out = state.join(owner, state["k"] == owner["b"], "left")
-    return out.select(F.col("k").alias(key), "kept", F.when(~F.col("kept"), F.col("best.a")).alias("duplicate_of"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, through the checkpoint folder that the cluster names."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="curatrix-"))
-    return df.checkpoint()
+        near = cut(_near_looks(looks, radius).unionByName(looks.select(F.col("look").alias("a"), F.col("look").alias("b"))))
+    state = items.withColumn("kept", F.lit(None).cast("boolean"))
+    best = [F.min(F.when(F.col("kept"), F.col("rank_no"))).alias("best_kept"), F.min(F.when(F.col("kept").isNull(), F.col("rank_no"))).alias("best_open")]
+
+    def around(state: DataFrame) -> DataFrame:
+        """``state`` with the best kept and undecided ranks of its content, c, and of the looks near its own, n."""
+        content = state.groupBy("sha256").agg(*best).toDF("sha256", "kept_c", "open_c")
+        out = state.join(content, "sha256", "left")
+        if near is None:
+            return out.withColumns({"kept_n": F.lit(None).cast("bigint"), "open_n": F.lit(None).cast("bigint")})
+        own = state.groupBy("look").agg(*best).withColumnRenamed("look", "a")
+        met = near.join(own, "a").groupBy(F.col("b").alias("look")).agg(F.min("best_kept").alias("kept_n"), F.min("best_open").alias("open_n"))
+        return out.join(met, "look", "left")
+
+    before = lambda c: F.coalesce(F.col(c) < F.col("rank_no"), F.lit(False))
+    hit, undecided = before("kept_c") | before("kept_n"), before("open_c") | before("open_n")
+    left = None
+    while left is None or left:
+        state = cut(around(state).withColumn("kept", F.coalesce("kept", F.when(hit, False).when(~undecided, True))).select("k", "rank_no", "sha256", "look", "kept"), instead=state)
+        now = state.where("kept IS NULL").count()
+        if now and now == left:
+            raise RuntimeError(f"{now} items cannot be decided")
+        left = now
+    owner = F.when(before("kept_c"), F.col("kept_c")).otherwise(F.col("kept_n"))
+    out = around(state).select(F.col("k").alias(key), "kept", F.when(~F.col("kept"), owner).alias("owner"))
+    named = state.where("kept").select(F.col("rank_no").alias("owner"), F.col("k").alias("duplicate_of"))
+    return out.join(named, "owner", "left").select(key, "kept", "duplicate_of")
 
 
 def diversify(
@@ -229,7 +259,7 @@ def select(items: DataFrame, weights: dict[str, float], settings, key: str = "pa
     unique = pool.join(copies.where("kept").select(key), key, "left_semi")
     picks = diversify(unique, settings.top, settings.diversity_bonus, settings.max_per_day, settings.min_visual_distance, key=key)
     out = scored.drop("status").join(scored.select(key, F.col("status").alias("first")), key)
-    out = out.join(copies.where(~F.col("kept")).select(key, "duplicate_of"), key, "left").join(F.broadcast(picks), key, "left")
+    out = out.join(copies.where(~F.col("kept")).select(key, "duplicate_of"), key, "left").join(picks, key, "left")
     final = F.coalesce("status", F.when(F.col("duplicate_of").isNotNull(), "duplicate"), F.col("first"))
     return out.withColumn("status", final).drop("first")
 

@@ -70,15 +70,16 @@ def criteria(spark: SparkSession) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection candidates: path, sha256, phash, size, day, category, excluded and scores."""
     v = F.col("vec_id")
-    documents = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("d"), F.sha2("text", 256).alias("sha256"))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.sha2("text", 256).alias("sha256"))
+    files = documents.agg(F.count(F.lit(1)).alias("files"))
     events = table(spark, sf_dir, "events")
     n = events.agg(F.count(F.lit(1)).alias("n"))
     days = events.select(F.col("event_id").alias("at"), F.to_date("ts").alias("seen"))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("t")).distinct()
     scores = long_scores(spark, sf_dir).groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "score"))).alias("scores"))
     category = F.element_at(F.array(*[F.lit(c) for c in ("portrait", "full_body", "activity", "social", "other")]), (F.col("label") % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(n)).join(paths(spark, sf_dir), "vec_id")
-    rows = rows.join(documents, v % 200 == F.col("d"), "left").join(days, v * 97 % F.col("n") == F.col("at"), "left")
+    rows = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(files)).join(paths(spark, sf_dir), "vec_id")
+    rows = rows.join(documents, v % F.col("files") == F.col("d"), "left").join(days, v * 97 % F.col("n") == F.col("at"), "left")
     rows = rows.join(toxic, v == F.col("t"), "left").join(scores, "vec_id")
     return rows.select(
         "vec_id", "path", "sha256", median_bits(F.col("embedding")).alias("phash"), (F.lit(100) + v % 3 * 30).cast("bigint").alias("width"),
@@ -97,10 +98,27 @@ items AS MATERIALIZED (SELECT h.vec_id, path, sha256(d.text) AS sha256, phash, 1
   CASE WHEN h.vec_id % 11 <> 0 THEN CAST(ev.ts AS DATE) END AS day,
   ['portrait', 'full_body', 'activity', 'social', 'other'][label % 5 + 1] AS category,
   h.vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS excluded, s.score
-  FROM hashes h JOIN paths USING (vec_id) JOIN scored s USING (vec_id) LEFT JOIN documents d ON d.doc_id = h.vec_id % 200
+  FROM hashes h JOIN paths USING (vec_id) JOIN scored s USING (vec_id) LEFT JOIN documents d ON d.doc_id = h.vec_id % (SELECT count(*) FROM documents)
   LEFT JOIN events ev ON ev.event_id = h.vec_id * 97 % (SELECT count(*) FROM events))"""
 
 
+VARIANT_RADIUS = 11
+
+
+def variants(items: DataFrame) -> DataFrame:
+    """``items`` in threes of one look: two of each three have the first one's hash with five bits changed."""
+    v = F.col("vec_id")
+    flip = F.expr("shiftleft(cast(vec_id % 3 * 4681 as bigint), cast(vec_id % 40 as int))")
+    first = items.select(F.col("vec_id").alias("of"), F.col("phash").alias("first"))
+    changed = items.join(first, v - v % 3 == F.col("of")).withColumns({"phash": F.col("first").bitwiseXOR(flip), "width": F.lit(100).cast("bigint")})
+    return changed.withColumn("sha256", F.when(v % 4 == 1, F.lit("one")).otherwise(F.col("sha256"))).drop("of", "first")
+
+
+VARIANTS = """variants AS MATERIALIZED (SELECT i.vec_id, i.path, CASE WHEN i.vec_id % 4 = 1 THEN 'one' ELSE i.sha256 END AS sha256,
+  xor(f.phash, (i.vec_id % 3 * 4681)::BIGINT << (i.vec_id % 40)::BIGINT) AS phash, 100::BIGINT AS width, i.height, i.score, i.excluded
+  FROM items i JOIN items f ON f.vec_id = i.vec_id - i.vec_id % 3)"""
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A stored inventory and a later listing of the same documents."""
     d = F.col("doc_id")

@@ -6,11 +6,14 @@ Face detection and assessment are plug-ins: objects made once in each task.
 import fcntl
 import hashlib
 import json
+import os
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +22,24 @@ from curatrix.config import Config
 from curatrix.functions import text as T
 from curatrix.operators import assessment, identity, inventory, selection
 from curatrix.sources import sinks
-from curatrix.sources.images import phash, read_image, taken
+from curatrix.sources.images import decode_png, encode_png, face_quality, fitted, phash, read_image, taken
 from curatrix.sources.library import read_library
-from curatrix.sources.tables import VersionedTable
+from curatrix.sources.tables import BatchedTable, VersionedTable, cut
 
 PHOTOS = (
     "path string, size bigint, mtime_ns bigint, config string, error string, sha256 string, phash bigint, width bigint, height bigint, "
-    "taken string, faces array<struct<box:array<double>,embedding:array<double>,face_pixels:double>>"
+    "taken string, faces array<struct<box:array<double>,embedding:array<double>,face_pixels:double,face_fraction:double,blur:double,brightness:double>>"
 )
 ASSESSED = "key string, result string"
 #: Unreadable files listed in run.json itself; the folder errors beside it has every one.
 LISTED_ERRORS = 1000
+#: Fixed value: the most width and height of a chosen picture in the report.
+THUMB = (1200, 1000)
 REFERENCES = "path string, sha256 string, embedding array<double>"
 
 
 class Detector(Protocol):
-    """Made once in a task; finds faces as dictionaries with box, embedding and face_pixels."""
+    """Made once in a task; finds faces as dictionaries with box (x, y, width, height) and embedding, and face_pixels if that is not the box's shorter side."""
 
     def faces(self, pixels) -> list[dict]: ...
 
@@ -44,18 +49,38 @@ class ProjectError(ValueError):
 
 
 def check_folders(state: Path, sources: list[str]) -> Path:
-    """The state folder, private and apart from the sources."""
+    """The state folder: private, without links, and apart from the sources, those of earlier runs as well.
+
+    Where the state is mounted from elsewhere, $CURATRIX_STATE_HOST names its other place.
+    """
     state = state.expanduser()
     if state.is_symlink():
         raise ProjectError("the state folder must not be a link")
     state = state.resolve()
-    for source in map(Path, sources):
-        if state == source or state in source.parents or source in state.parents:
-            raise ProjectError("state and source folders must not contain each other")
+    listed = state / "sources.json"
+    known = set(json.loads(listed.read_text())) if listed.exists() else set()
+    places = [state, *(Path(p).resolve() for p in [os.environ.get("CURATRIX_STATE_HOST")] if p)]
+    for place in places:
+        for source in map(Path, {*sources, *known}):
+            if place == source or place in source.parents or source in place.parents:
+                raise ProjectError("state and source folders must not contain each other")
+    if any(p.is_symlink() for p in state.rglob("*")):
+        raise ProjectError("the state folder must not hold links")
     state.mkdir(parents=True, exist_ok=True, mode=0o700)
+    if not known.issuperset(sources):
+        sinks.write_json(listed, sorted({*sources, *known}))
     return state
 
 
+def unchanged(path: str, size: int, mtime_ns: int, library: str) -> bool:
+    """Whether a file is still the one scanned, no link, and inside the library."""
+    at = Path(path)
+    if at.is_symlink() or not at.resolve().is_relative_to(library) or not at.exists():
+        return False
+    stat = at.stat()
+    return (stat.st_size, stat.st_mtime_ns) == (size, mtime_ns)
+
+
 @contextmanager
 def exclusive(state: Path) -> Iterator[None]:
     """One run at a time for a state folder; the lock goes with its process."""
@@ -70,13 +95,16 @@ def exclusive(state: Path) -> Iterator[None]:
 class Project:
     """The stored state of one pair of folders, and the steps over it."""
 
-    def __init__(self, spark: SparkSession, config: Config, state: str | Path, detector: Callable[[], Detector], assessor: Callable, revision: str = "1"):
+    def __init__(
+        self, spark: SparkSession, config: Config, state: str | Path, detector: Callable[[], Detector] | None = None, assessor: Callable | None = None,
+        revision: str = "1", decoder: Callable[[bytes], np.ndarray] = decode_png,
+    ):
         self.spark, self.config, self.revision = spark, config, revision
-        self.detector, self.assessor = detector, assessor
+        self.detector, self.assessor, self.decoder = detector, assessor, decoder
         self.state = check_folders(Path(state), [config.library, config.references])
         self.folder = check_folders(self.state / config.project, [config.library, config.references])
-        self.photos = VersionedTable(spark, self.folder / "photos", PHOTOS)
-        self.assessed = VersionedTable(spark, self.folder / "assessed", ASSESSED)
+        self.photos = BatchedTable(spark, self.folder / "photos", PHOTOS, "path")
+        self.assessed = BatchedTable(spark, self.folder / "assessed", ASSESSED, "key")
         self.references = VersionedTable(spark, self.folder / "references", REFERENCES)
 
     def _identity(self) -> dict:
@@ -88,7 +116,17 @@ class Project:
 
     def _read(self, files: DataFrame, config: str) -> DataFrame:
         """Decode, hash and find faces, one detector a task."""
-        make = self.detector
+        if self.detector is None:
+            raise ProjectError("a detector is needed to read pictures")
+        make, decode = self.detector, self.decoder
+
+        def measured(pixels: np.ndarray, face: dict) -> dict:
+            box = tuple(map(float, face["box"]))
+            blur, brightness = face_quality(pixels, box)
+            return dict(
+                box=list(box), embedding=list(map(float, face["embedding"])), face_pixels=float(face.get("face_pixels", min(box[2:]))),
+                face_fraction=box[2] * box[3] / (pixels.shape[0] * pixels.shape[1]), blur=blur, brightness=brightness,
+            )
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = make()
@@ -98,9 +136,9 @@ class Project:
                     row = dict(path=path, size=size, mtime_ns=mtime, config=config, error=None, sha256=None, phash=None, width=None, height=None, taken=None, faces=None)
                     try:
                         data = Path(path).read_bytes()
-                        pixels = read_image(data)
+                        pixels = read_image(data, decode)
                         h = phash(pixels)
-                        faces = [dict(box=list(map(float, f["box"])), embedding=list(map(float, f["embedding"])), face_pixels=float(f["face_pixels"])) for f in found.faces(pixels)]
+                        faces = [measured(pixels, f) for f in found.faces(pixels)]
                         stat = Path(path).stat()
                         if (stat.st_size, stat.st_mtime_ns) != (size, mtime):
                             raise ValueError("the file changed while it was read")
@@ -112,6 +150,14 @@ class Project:
 
         return files.select("path", "size", "mtime_ns").mapInPandas(run, PHOTOS)
 
+    def _rounds(self, rows: DataFrame, key: str, batch: int) -> Iterator[DataFrame]:
+        """``rows`` in parts of about ``batch`` for each task that can run at once."""
+        n, width = rows.count(), self.spark.sparkContext.defaultParallelism
+        rounds = -(-n // (batch * width))
+        for k in range(rounds):
+            part = rows.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == k) if rounds > 1 else rows
+            yield part.repartition(min(width, n))
+
     def _reference_digest(self) -> str:
         files = read_library(self.spark, self.config.references).select("path").collect()  # enrolled by hand, so few
         return T.fingerprint([(r["path"], hashlib.sha256(Path(r["path"]).read_bytes()).hexdigest()) for r in files])
@@ -119,7 +165,7 @@ class Project:
     def enroll(self) -> None:
         """Read the references and keep those that can be used; a failure changes nothing."""
         digest = self._reference_digest()
-        found = self._read(read_library(self.spark, self.config.references), "references").select("path", "sha256", "faces").cache()
+        found = cut(self._read(read_library(self.spark, self.config.references), "references").select("path", "sha256", "faces"))
         kept = identity.enrolled(found, self.config.recognition.skip_invalid_references)
         self.references.replace(kept.select("path", "sha256", "embedding"))
         sinks.write_json(self.folder / "identity.json", {
@@ -127,15 +173,26 @@ class Project:
             "digest": T.fingerprint([(r["path"], r["sha256"]) for r in self.references.read().orderBy("path").collect()]),
         })
 
-    def scan(self, limit: int | None = None) -> dict:
-        """Bring the stored rows up to the folder; returns how many were read."""
-        config, listing = self._scan_config(), read_library(self.spark, self.config.library).cache()
-        stored = self.photos.read()
-        work = inventory.pending(listing, stored, config, limit)
-        fresh = self._read(work, config)
-        total, gone = listing.count(), inventory.vanished(listing, stored).count()
-        after = self.photos.replace(inventory.upsert(stored, fresh, listing))
-        read = after.join(work.select("path"), "path", "left_semi")
+    def scan(self, limit: int | None = None, batch: int = 256) -> dict:
+        """Bring the stored rows up to the folder; returns how many were read.
+
+        Files are read in rounds of about ``batch`` for each task at once, and each
+        round is stored as it ends: a scan that is broken off goes on from there.
+        """
+        held = self.folder / "library.json"
+        if held.exists() and json.loads(held.read_text())["source"] != self.config.library:
+            raise ProjectError("this state belongs to another library")
+        config, listing = self._scan_config(), cut(read_library(self.spark, self.config.library))
+        total = listing.count()
+        sinks.write_json(held, {"source": self.config.library, "config": config, "supported_files": total, "identity_digest": self._identity()["digest"]})
+        gone = inventory.vanished(listing, self.photos.read()).count()
+        if gone:
+            self.photos.keep(listing.select("path"))
+        work = cut(inventory.pending(listing, self.photos.read(), config, limit))
+        for part in self._rounds(work, "path", batch):
+            self.photos.add(self._read(part, config))
+        self.photos.compact()
+        read = self.photos.read().join(work.select("path"), "path", "left_semi")
         n, bad = read.count(), read.where("error IS NOT NULL").count()
         return {"processed": n, "cached": total - n, "errors": bad, "total": total, "vanished": gone}
 
@@ -155,18 +212,15 @@ class Project:
         rows = best.where(match).withColumns({"day": day, "date_source": source, "box": F.get("faces", F.col("best_pos").cast("int"))["box"]})
         return rows.drop("faces"), seen
 
-    def rank(self, batch: int = 64) -> Path:
-        """Assess what is new, in stored batches, then select and report."""
+    def rank(self, batch: int = 16) -> Path:
+        """Assess what is new, in stored rounds, then select and report."""
         self._require_identity()
-        items, coverage = self.candidates()
         criteria = list(self.config.criteria)
-        items = assessment.keyed(items, self.config.signature(self.revision)).cache()
-        while True:
-            _, misses = assessment.split(items, self.assessed.read())
-            todo = assessment.once(misses).orderBy("path").limit(batch).cache()
-            if not todo.limit(1).count():
-                break
-            self.assessed.append(assessment.assess(todo, self.assessor, criteria).cache(), "key")
+        items = cut(assessment.keyed(self.candidates()[0], self.config.signature(self.revision)))
+        _, misses = assessment.split(items, self.assessed.read())
+        for part in self._rounds(cut(assessment.once(misses)), "key", batch):
+            self._assess(part, criteria)
+        self.assessed.compact()
         done, _ = assessment.split(items, self.assessed.read())
         again, coverage = self.candidates()
         if not inventory.same_snapshot(again, done).first()["equal"]:
@@ -174,9 +228,35 @@ class Project:
         parsed = done.withColumn("a", F.from_json("result", _result_type()))
         parsed = parsed.withColumns({"excluded": F.col("a.excluded"), "category": F.col("a.category"), "scores": F.transform_values("a.scores", lambda _, v: v["score"])})
         weights = {k: c.weight for k, c in self.config.criteria.items()}
-        chosen = selection.select(parsed, weights, self.config.selection).cache()
+        chosen = cut(selection.select(parsed, weights, self.config.selection))
         return self._report(chosen, criteria, coverage)
 
+    def _assess(self, items: DataFrame, criteria: list[str], attempts: int = 2, pause: float = 1.0) -> None:
+        """Store the assessments of ``items``; those that fail are tried again, the others are kept."""
+        if self.assessor is None:
+            raise ProjectError("an assessor is needed for new pictures")
+        library = self.config.library
+        same = F.udf(lambda path, size, mtime_ns: unchanged(path, size, mtime_ns, library), "boolean")  # one look at the file system a row
+
+        def refuse_changed() -> None:
+            other = items.where(~same("path", "size", "mtime_ns")).select("path").first()
+            if other is not None:
+                raise ProjectError(f"a source changed, scan again: {other['path']}")
+
+        refuse_changed()
+        for k in range(attempts):
+            tried = cut(assessment.attempt(items, self.assessor, criteria))
+            refuse_changed()
+            self.assessed.add(tried.where("problem IS NULL").select("key", "result"))
+            failed = tried.where("problem IS NOT NULL")
+            one = failed.select("problem").first()
+            if one is None:
+                return
+            items = items.join(failed.select("key"), "key", "left_semi")
+            if k < attempts - 1:
+                time.sleep(pause)
+        raise RuntimeError(f"{failed.count()} pictures could not be assessed, one of them as {one['problem']}; finished assessments are kept")
+
     def _require_identity(self) -> None:
         held = self._identity()
         if not held:
@@ -189,22 +269,35 @@ class Project:
         rows = chosen.withColumns({"assessment": F.col("a"), "date": F.col("day").cast("string")})
         sinks.write_csv(rows, criteria, str(out / "all-scores"))
         picked = rows.where("status = 'recommended'").orderBy("rank").limit(top)
-        best = [r.asDict(True) for r in picked.select("path", "rank", "score", "selection_score", "similarity", "date", "date_source", "category", "a").collect()]
+        best = [r.asDict(True) for r in picked.select("path", "size", "mtime_ns", "rank", "score", "selection_score", "similarity", "date", "date_source", "category", "a").collect()]
         for item in best:
             item |= {"summary": item["a"]["summary"], "scores": item.pop("a")["scores"]}
+        thumbs = self._thumbs(best, out)
         variety = selection.variety(chosen).first().asDict() | {"max_per_day": self.config.selection.max_per_day, "min_visual_distance": self.config.selection.min_visual_distance}
         unread = self.photos.read().where("error IS NOT NULL").select("path", "error")
         unread.write.mode("errorifexists").json(str(out / "errors"))  # all of them; the report lists the first
         errors = [r.asDict() for r in unread.orderBy("path").limit(LISTED_ERRORS).collect()]
         sinks.write_json(out / "run.json", {
             "config": self.config.to_dict(), "coverage": coverage | {"errors": errors, "errors_listed": len(errors), "all_errors": str(out / "errors")}, "assessment_signature": self.config.signature(self.revision),
-            "requested": top, "recommended": len(best), "diversity": variety,
+            "requested": top, "recommended": len(best), "diversity": variety, "note": "Scores are a model's opinion by the configured rubric.",
         })
         sinks.write_json(out / "recommendations.json", best)
-        (out / "index.html").write_text(sinks.page(best, coverage, variety, top))
+        (out / "index.html").write_text(sinks.page(best, coverage, variety, top, thumbs=thumbs))
         sinks.publish(self.folder, out, len(best), top)
         return out
 
+    def _thumbs(self, best: list[dict], out: Path) -> dict[int, str]:
+        """Small pictures of the chosen files, which must still be those scanned; at most as many as may be requested."""
+        names = {}
+        (out / "thumbs").mkdir(mode=0o700)
+        for item in best:
+            if not unchanged(item["path"], item["size"], item["mtime_ns"], self.config.library):
+                raise ProjectError(f"a chosen source changed, run again: {item['path']}")
+            names[item["rank"]] = f"thumbs/{item['rank']:02d}.png"
+            small = fitted(read_image(Path(item["path"]).read_bytes(), self.decoder), *THUMB)
+            (out / names[item["rank"]]).write_bytes(encode_png(small))
+        return names
+
     def run(self, scan_only: bool = False) -> Path | None:
         with exclusive(self.state):
             held = self._identity()

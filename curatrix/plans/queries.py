@@ -10,6 +10,7 @@ from curatrix.functions import text as T
 from curatrix.functions.vectors import checked_unit, dot, hex16
 from curatrix.operators import assessment, detection, identity, inventory, selection
 from curatrix.plans import fixtures as X
+from curatrix.sources import sinks
 
 # Settings under which every rule has work to do on the test views.
 THRESHOLD, RADIUS, DISTANCE, DAY_CAP, TOP, BONUS, MINIMUM = 0.15, 19, 24, 2, 30, 0.75, 4.5
@@ -103,13 +104,6 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return selection.near_pairs(selection.ranked(_scored(spark, d)), RADIUS).select("a", "b")
 
 
-@query(f"""WITH {X.ITEMS} SELECT a.path AS a, b.path AS b FROM items a, items b
-WHERE bit_count(xor(a.phash, b.phash)) <= 15 AND {_ALIKE} AND (a.score > b.score OR a.score = b.score AND a.path < b.path)""")
-def near_duplicate_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
-    """E7 by pigeonhole bands: the same answer through an equi-join."""
-    return selection.near_pairs(selection.ranked(_scored(spark, d)), 15).select("a", "b")
-
-
 @query(f"WITH {X.ITEMS} SELECT sha256, count(*) AS n, min(path) AS first_path FROM items GROUP BY sha256 HAVING count(*) > 1")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """E6 F10."""
@@ -151,14 +145,32 @@ def _pool(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).where(found == "eligible")
 
 
-_GREEDY = f"""pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS r FROM items WHERE NOT excluded AND score >= {MINIMUM}),
+def _greedy(items: str, radius: int) -> str:
+    return f"""pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS r FROM {items} WHERE NOT excluded AND score >= {MINIMUM}),
 walk AS (SELECT 0::BIGINT AS r, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS owner,
     CAST([] AS STRUCT(path VARCHAR, sha256 VARCHAR, phash BIGINT, a DOUBLE)[]) AS kept
   UNION ALL
   SELECT p.r, p.path, o.owner, CASE WHEN o.owner IS NULL THEN list_append(w.kept, {{'path': p.path, 'sha256': p.sha256, 'phash': p.phash, 'a': p.width / p.height}}) ELSE w.kept END
   FROM walk w JOIN pool p ON p.r = w.r + 1, LATERAL (SELECT coalesce(
     list_filter(w.kept, lambda k: k.sha256 = p.sha256)[1].path,
-    list_filter(w.kept, lambda k: bit_count(xor(k.phash, p.phash)) <= {RADIUS} AND abs((p.width / p.height) / k.a - 1) < 0.1)[1].path) AS owner) o)"""
+    list_filter(w.kept, lambda k: bit_count(xor(k.phash, p.phash)) <= {radius} AND abs((p.width / p.height) / k.a - 1) < 0.1)[1].path) AS owner) o)"""
+
+
+_GREEDY = _greedy("items", RADIUS)
+
+
+@query(f"""WITH {X.ITEMS}, {X.VARIANTS} SELECT a.path AS a, b.path AS b FROM variants a, variants b
+WHERE bit_count(xor(a.phash, b.phash)) <= {X.VARIANT_RADIUS} AND {_ALIKE} AND (a.score > b.score OR a.score = b.score AND a.path < b.path)""")
+def near_duplicate_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
+    """E7 through enumerated quarters of the hash: the same answer by an equi-join, on hashes that differ by a few bits in threes."""
+    return selection.near_pairs(selection.ranked(X.variants(_scored(spark, d))), X.VARIANT_RADIUS).select("a", "b")
+
+
+@query(f"""WITH RECURSIVE {X.ITEMS}, {X.VARIANTS}, {_greedy('variants', X.VARIANT_RADIUS)} SELECT path, owner IS NULL AS kept, owner AS duplicate_of FROM walk WHERE r > 0""")
+def greedy_dedupe_variants(spark: SparkSession, d: str) -> DataFrame:
+    """G2 E6 E7 on variants of the same looks, with equal contents across them."""
+    pool = X.variants(_scored(spark, d)).where(~F.col("excluded") & (F.col("score") >= MINIMUM))
+    return selection.dedupe(pool, X.VARIANT_RADIUS)
 
 
 @query(f"WITH RECURSIVE {X.ITEMS}, {_GREEDY} SELECT path, owner IS NULL AS kept, owner AS duplicate_of FROM walk WHERE r > 0")
@@ -285,7 +297,7 @@ def snapshot_equality(spark: SparkSession, d: str) -> DataFrame:
     return inventory.same_snapshot(*X.snapshots(spark, d))
 
 
-_KEYED = f"""{X.ITEMS}, cached AS (SELECT DISTINCT sha256 FROM items WHERE vec_id % 200 < 60)"""
+_KEYED = f"""{X.ITEMS}, cached AS (SELECT DISTINCT sha256 FROM items WHERE vec_id % 10 < 3)"""
 
 
 @query(f"WITH {_KEYED} SELECT path, sha256 IN (SELECT sha256 FROM cached) AS hit FROM items")
@@ -297,7 +309,7 @@ def assessment_cache_split(spark: SparkSession, d: str) -> DataFrame:
 
 def _cached(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = assessment.keyed(X.items(spark, d).withColumn("box", F.array(F.lit(0.0), F.lit(0.0))), "rubric")
-    return items, items.where("vec_id % 200 < 60").select("key").distinct().withColumn("result", F.lit("{}"))
+    return items, items.where("vec_id % 10 < 3").select("key").distinct().withColumn("result", F.lit("{}"))
 
 
 @query(f"WITH {_KEYED} SELECT min(path) AS path, sha256 FROM items WHERE sha256 NOT IN (SELECT sha256 FROM cached) GROUP BY sha256")
@@ -343,13 +355,48 @@ def csv_guard(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", T.guarded(F.col("c")).alias("cell"))
 
 
-_WIDE = ", ".join(f"sum(score) FILTER (name = '{n}') AS {n}_score" for n in X.WEIGHTS)
+_WIDE = ", ".join(
+    f"sum(score) FILTER (name = '{n}') AS {n}_score, CASE WHEN vec_id % 6 < 4 THEN '''' ELSE '' END || ['=', '+', '-', '@', 'x', ' ='][vec_id % 6 + 1] || '{n}' AS {n}_reason"
+    for n in X.WEIGHTS
+)
+_EMPTY = {k: f"CAST(NULL AS VARCHAR) AS {k}" for k in ("score", "rank", "similarity", "date", "date_source", "duplicate_of", "diversity_of")}
 
 
-@query(f"WITH {X.SCORES} SELECT vec_id, {_WIDE} FROM long_scores GROUP BY vec_id")
+@query(f"""WITH {X.PATHS}, {X.SCORES}, w AS (SELECT vec_id, {_WIDE} FROM long_scores GROUP BY vec_id)
+SELECT path, 'eligible' AS status, 'other' AS category, 'said' AS summary, '' AS exclusion_reason, {', '.join(_EMPTY.values())}, w.* EXCLUDE (vec_id) FROM w JOIN paths USING (vec_id)""")
 def all_scores_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One column for each criterion."""
-    return X.items(spark, d).select("vec_id", *[F.element_at("scores", F.lit(n)).alias(f"{n}_score") for n in X.WEIGHTS])
+    """The wide report, a score and a guarded reason for each criterion."""
+    start = F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "x", " =")]), (F.col("vec_id") % 6 + 1).cast("int"))
+    told = F.transform_values("scores", lambda n, v: F.struct(v.alias("score"), F.concat(F.col("start"), n).alias("reason")))
+    said = F.struct(F.lit("other").alias("category"), F.lit("said").alias("summary"), F.lit("").alias("exclusion_reason"), told.alias("scores"))
+    rows = X.items(spark, d).withColumn("start", start).select("path", F.lit("eligible").alias("status"), said.alias("assessment"))
+    return sinks.wide(rows, list(X.WEIGHTS))
+
+
+_PIXELS = "list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 1000) AS BIGINT) % 256)"
+_AROUND = " + ".join(
+    f"g[(7 - abs(7 - abs({line}))) * 8 + 7 - abs(7 - abs({column})) + 1]"
+    for line, column in (("i // 8 - 1", "i % 8"), ("i // 8 + 1", "i % 8"), ("i // 8", "i % 8 - 1"), ("i // 8", "i % 8 + 1"))
+)
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_PIXELS} AS g FROM embeddings)
+SELECT vec_id, round(list_var_pop(list_transform(range(0, 64), lambda i: CAST({_AROUND} - 4 * g[i + 1] AS DOUBLE))), 6) AS blur, round(list_avg(g), 6) AS brightness FROM p""")
+def face_sharpness(spark: SparkSession, d: str) -> DataFrame:
+    """Blur and brightness of squares of gray values."""
+    gray = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256)
+    rows = X.table(spark, d, "embeddings").select("vec_id", detection.sharpness(gray, 8).alias("s"))
+    return rows.select("vec_id", F.round("s.blur", 6).alias("blur"), F.round("s.brightness", 6).alias("brightness"))
+
+
+@query("""WITH p AS (SELECT doc_id, ['', 'b/', 'a/', 'a/z/', 'a.b/'][doc_id % 5 + 1] AS folder, 'f' || CAST(doc_id * 7919 % 100003 AS VARCHAR) AS name FROM documents)
+SELECT doc_id, '/r/' || folder || name AS path, row_number() OVER (ORDER BY CASE folder WHEN '' THEN 0 WHEN 'a/' THEN 1 WHEN 'a/z/' THEN 2 WHEN 'a.b/' THEN 3 ELSE 4 END, name, doc_id) AS place FROM p""")
+def traversal_order(spark: SparkSession, d: str) -> DataFrame:
+    """Files as the folder tree is walked, those of a folder before the folders below it."""
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("", "b/", "a/", "a/z/", "a.b/")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("f"), (F.col("doc_id") * 7919 % 100003).cast("string"))
+    rows = X.table(spark, d, "documents").select("doc_id", F.concat(F.lit("/r/"), folder, name).alias("path"))
+    return selection.numbered(rows, T.traversal(F.col("path")), F.col("doc_id")).select("doc_id", "path", F.col("rank_no").alias("place"))
 
 
 @query(f"""WITH RECURSIVE {X.BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, box_id) AS n FROM boxes WHERE conf >= 0.5),

@@ -8,9 +8,10 @@ query when a folder cannot be read.
 import os
 from collections.abc import Iterator
 
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from curatrix.functions.text import EXTENSIONS
+from curatrix.functions.text import EXTENSIONS, traversal
 
 SCHEMA = "path string, size bigint, mtime_ns bigint"
 
@@ -45,7 +46,7 @@ class LibraryReader(DataSourceReader):
 
     def partitions(self) -> list[_Folder]:
         """One for the files at the top, one for each folder there."""
-        if not os.path.isdir(self.root) or os.path.islink(self.root):
+        if not os.path.isdir(self.root):
             raise ValueError(f"{self.root} is not a folder")
         below = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
         return [_Folder(self.root, False), *(_Folder(p, True) for p in below)]
@@ -69,5 +70,6 @@ class LibrarySource(DataSource):
 
 
 def read_library(spark, root: str):
+    """The files below a folder, as it is walked; a folder named by a link is the one linked to."""
     spark.dataSource.register(LibrarySource)
-    return spark.read.format("library").load(root).orderBy("path")
+    return spark.read.format("library").load(os.path.realpath(root)).orderBy(traversal(F.col("path")))

@@ -63,17 +63,31 @@ def publish(project: Path, run: Path, recommended: int, requested: int) -> None:
     write_json(project / "latest.json", {"output": str(run), "recommended": recommended, "requested": requested})
 
 
-def page(selected: list[dict], coverage: dict, variety: dict, requested: int, title: str = "Recommended items") -> str:
-    """An HTML page of the chosen items, at most as many as may be requested."""
+_STYLE = (
+    "body{font:16px/1.5 sans-serif;max-width:64rem;margin:2rem auto;padding:0 1rem}article{border-top:2px solid;padding:1rem 0}"
+    "img{max-width:100%;max-height:44rem}td,th{padding:.4rem .8rem;text-align:left;vertical-align:top}.path{overflow-wrap:anywhere}"
+)
+
+
+def page(selected: list[dict], coverage: dict, variety: dict, requested: int, title: str = "Recommended items", thumbs: dict[int, str] | None = None) -> str:
+    """An HTML page of the chosen items, at most as many as may be requested.
+
+    ``thumbs`` names the picture of each rank, beside the page; a picture links to its file.
+    """
     e = lambda v: html.escape(str(v), quote=True)
-    out = [f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{e(title)}</title><h1>{e(title)}</h1>']
-    out.append(f"<p>{len(selected)} of {requested} requested; {e(coverage)}; {e(variety)}</p>")
+    out = [f'<!doctype html><html lang="en"><meta charset="utf-8"><meta name="viewport" content="width=device-width"><title>{e(title)}</title><style>{_STYLE}</style><h1>{e(title)}</h1>']
+    seen = {k: coverage.get(k) for k in ("supported_images", "identity_matches", "read_errors")}
+    out.append(f"<p>{len(selected)} of {requested} requested. " + ", ".join(f"{e(k.replace('_', ' '))}: {e(v)}" for k, v in seen.items()) + ".</p>")
+    out.append("<p>" + ", ".join(f"{e(k.replace('_', ' '))}: {e(v)}" for k, v in variety.items()) + ". Unknown dates are under no day limit.</p>")
     if len(selected) < requested:
-        out.append(f"<p>Only {len(selected)} items qualified for the {requested} requested.</p>")
+        out.append(f"<p>{requested - len(selected)} places stayed empty, as no further item met every rule; the table of all scores says why.</p>")
     for item in selected:
         rows = "".join(f"<tr><th>{e(n)}</th><td>{v['score']:.1f}</td><td>{e(v['reason'])}</td></tr>" for n, v in item.get("scores", {}).items())
+        thumb = (thumbs or {}).get(item["rank"])
+        shown = f'<a href="{e(Path(item["path"]).as_uri())}"><img src="{e(thumb)}" alt="{e(item["rank"])}"></a>' if thumb else ""
         out.append(
-            f"<article><h2>#{e(item['rank'])} {item['score']:.2f} {e(item.get('category', ''))}</h2><p>{e(item.get('summary', ''))}</p>"
-            f"<p>{e(item['path'])}</p><p>{e(item.get('date') or 'unknown')}</p><table>{rows}</table></article>"
+            f"<article><h2>#{e(item['rank'])} {item['score']:.2f} {e(item.get('category', ''))}</h2>{shown}<p>{e(item.get('summary', ''))}</p>"
+            f'<p class="path">{e(item["path"])}</p><p>{e(item.get("date") or "unknown")} ({e(item.get("date_source", "unknown"))})</p>'
+            f"<details><summary>Scores</summary><table>{rows}</table></details></article>"
         )
     return "".join(out) + "</html>"

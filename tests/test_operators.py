@@ -129,22 +129,81 @@ def test_status_order(spark):
     assert got == ["visual_exclusion", "date_exclusion", "below_minimum_score", "eligible"]
 
 
-def test_validation_agrees_with_plain_check(spark):
-    import json
-
+def test_validation_names_the_broken_rule(spark):
     from curatrix.plans.fixtures import ASSESSMENTS
 
-    texts = [*ASSESSMENTS, ASSESSMENTS[0].replace("7", "NaN", 1), ASSESSMENTS[0].replace('"s"', '"' + "x" * 4001 + '"'), ASSESSMENTS[0].replace('"r"', '"' + "x" * 2001 + '"')]
-    valid, _ = assessment.validate(F.col("t"), ["expression", "pose"])
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(valid).collect()]
+    broken = [*ASSESSMENTS, ASSESSMENTS[0].replace("7", "NaN", 1), ASSESSMENTS[0].replace('"s"', '"' + "x" * 4001 + '"'), ASSESSMENTS[0].replace('"r"', '"' + "x" * 2001 + '"', 1)]
+    rows = spark.createDataFrame(list(enumerate(broken)), "k int, t string")
+    valid, error = assessment.validate(F.col("t"), ["expression", "pose"])
+    got = rows.select("k", valid.alias("ok"), error.alias("e")).orderBy("k").collect()
+    assert [r["ok"] for r in got] == [True] + [False] * (len(broken) - 1)
+    assert got[0]["e"] is None and got[-2]["e"] == "an explanation is too long" and got[-1]["e"] == "a score lacks its reason"
+
+
+class _Moody:
+    """Fails on one key, breaks a rule on another."""
+
+    def assess(self, item):
+        if item["key"] == "fails":
+            raise OSError("no answer")
+        score = 11 if item["key"] == "wrong" else 5
+        return {"excluded": False, "exclusion_reason": "", "category": "other", "summary": "s", "scores": {"pose": {"score": score, "reason": "r"}}}
+
+
+def test_attempts_keep_what_works(spark):
+    rows = spark.createDataFrame([("fails",), ("wrong",), ("fine",)], "key string")
+    got = {r["key"]: r for r in assessment.attempt(rows, _Moody, ["pose"]).collect()}
+    assert got["fine"]["problem"] is None and '"score": 5' in got["fine"]["result"]
+    assert got["fails"]["problem"] == "no answer" and got["wrong"]["problem"] == "a score is out of range" and got["wrong"]["result"] is None
+
+
+def test_vectors_are_bound_once(spark):
+    """The plan names a vector's length once, however many elements it divides."""
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>")
+    assert [r[0] for r in rows.select(unit(F.col("v"))).collect()] == [[0.6, 0.8], None, None]
+
+
+def _items(spark, rows):
+    return spark.createDataFrame(rows, "path string, score double, sha256 string, phash bigint, width bigint, height bigint")
+
+
+def _greedy(rows, radius):
+    kept, out = [], {}
+    for path, _, sha, h, w, height in sorted(rows, key=lambda r: (-r[1], r[0])):
+        same = next((k[0] for k in kept if sha is not None and k[2] == sha), None)
+        near = None
+        if h is not None:
+            near = next((k[0] for k in kept if k[3] is not None and (((k[3] ^ h) & (1 << 64) - 1).bit_count() <= radius) and abs((w / height) / (k[4] / k[5]) - 1) < 0.1), None)
+        out[path] = same or near
+        if out[path] is None:
+            kept.append((path, _, sha, h, w, height))
+    return out
+
+
+@pytest.mark.parametrize("radius", [-1, 0, 5, 9, 20])
+def test_dedupe_is_the_greedy_walk(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        h = base[i % 12] ^ sum(1 << rng.randrange(63) for _ in range(rng.randrange(6)))
+        rows.append((f"p{i:03}", float(rng.randrange(20)), rng.choice([None, "a", "b", *[f"s{i}"] * 6]), None if i % 40 == 7 else h, rng.choice([100, 105, 150]), 100))
+    got = {r["path"]: r for r in selection.dedupe(_items(spark, rows), radius).collect()}
+    wanted = _greedy(rows, radius)
+    assert {k: r["duplicate_of"] for k, r in got.items()} == wanted
+    assert all(r["kept"] == (wanted[k] is None) for k, r in got.items())
+
+
+def test_dedupe_settles_a_long_chain(spark):
+    rows = [(f"p{i:02}", 1.0, f"s{i}", (1 << i) - 1, 100, 100) for i in range(14)]  # each one bit from the next
+    got = {r["path"]: r["kept"] for r in selection.dedupe(_items(spark, rows), 1).collect()}
+    assert got == {f"p{i:02}": i % 2 == 0 for i in range(14)}
 
-    def plain(t):
-        try:
-            return assessment.check(json.loads(t), ["expression", "pose"]) is None
-        except ValueError:
-            return False
 
-    assert got == [plain(t) for t in texts] and got[0] and sum(got) == 1
+def test_copies_make_no_pairs(spark):
+    rows = [(f"p{i:04}", 1.0, "same", 5, 100, 100) for i in range(2_000)]
+    got = selection.dedupe(_items(spark, rows), 6)
+    assert got.where("kept").count() == 1 and got.where("duplicate_of = 'p0000'").count() == 1_999
 
 
 def test_inventory(spark):
