@@ -11,6 +11,9 @@ _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+#: Characters whose prefix sums are held at once.
+PIECE = 1 << 18
+
 _powers = np.ones(1, dtype=_U64), np.ones(1, dtype=_U64)
 _tables: dict[str, np.ndarray] = {}
 
@@ -66,11 +69,24 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span's characters, wherever the span lies."""
-    up, down = powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, dtype=_U64)
-    np.cumsum((points.astype(_U64) + _U64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A hash of each span's characters, wherever the span lies; spans stand in order and apart.
+
+    The characters are looked at in pieces of about ``PIECE``, so that a long
+    text's prefix sums do not stand in memory at once.
+    """
+    out = np.empty(len(starts), dtype=_U64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
+        own = points[base : ends[j - 1]]
+        up, down = powers(len(own) + 1)
+        sums = np.zeros(len(own) + 1, dtype=_U64)
+        np.cumsum((own.astype(_U64) + _U64(1)) * up[:-1], out=sums[1:])
+        first = starts[i:j] - base
+        out[i:j] = mix((sums[ends[i:j] - base] - sums[first]) * down[first])
+        i = j
+    return out
 
 
 def words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
