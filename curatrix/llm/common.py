@@ -1,60 +1,22 @@
-"""What the corpus operators share: the shared folder, column names, folds."""
+"""What the corpus operators share: cuts of lineage, column names, folds."""
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from curatrix.sources.tables import cut
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    That is ``spark.checkpoint.dir``. Only where it is unset and the master is
-    a single local JVM does a temporary folder stand in for it.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    own = context.getCheckpointDir()
-    if own is None:
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="curatrix-"))
-        own = context.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    A lost executor then costs a reread, never a recomputation. The files go
-    when the driver's interpreter ends, or with ``clean()``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/curatrix/{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path.rpartition("/")[0]))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean() -> None:
-    """Delete what ``materialize`` has written in this interpreter."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended before its interpreter
-            return
-
-
-atexit.register(clean)
+def materialize(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the folder that all executors share and read back; ``instead`` is an earlier one whose files go."""
+    df.sparkSession.sparkContext.setJobDescription(label)
+    out = cut(df, instead)
+    df.sparkSession.sparkContext.setJobDescription(None)
+    return out
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -78,5 +40,15 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def sliced(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in slices of about ``most`` bytes of a text or binary column, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (int(size[at - 1]) if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import col, materialize
+from curatrix.llm.common import col, materialize, sliced
 
 #: Entries that a tokenising worker keeps of words it has seen.
 CACHE = 300_000
@@ -70,7 +70,7 @@ class Encoder:
         return array("I", [i for w in _WORDS.findall(piece) for i in self.ranked.encode_single_piece(w.encode())]).tobytes()
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; a null has none."""
+        """The ids of each text; a null has none. It takes many times the texts' own size, so they come in slices."""
         texts = texts.fill_null("")
         if self.ranked is None:
             return [self.whole(t) for t in texts.to_pylist()]
@@ -134,14 +134,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "do
         part, at = TaskContext.get().partitionId(), 0
         encoder, end = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [x.tobytes() + end for x in encoder.batch(batch.column(1))]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), part, dtype=np.int32)), batch.column(0), pa.array(starts), pa.array(n), pa.array(ids, type=pa.binary())],
-                names=["part", "doc_id", "local_start", "n", "ids"],
-            )
+            for some in sliced(batch, 1):
+                ids = [x.tobytes() + end for x in encoder.batch(some.column(1))]
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                starts = at + np.cumsum(n) - n
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), part, dtype=np.int32)), some.column(0), pa.array(starts), pa.array(n), pa.array(ids, type=pa.binary())],
+                    names=["part", "doc_id", "local_start", "n", "ids"],
+                )
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return materialize(rows.mapInArrow(run, _TOKENS), "tokens")
@@ -163,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = held.value
-        for batch in batches:
+        for batch in (some for whole in batches for some in sliced(whole, 4)):
             out: list[list] = [[] for _ in range(7)]
             for part, doc, at, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 at += base[part]
