@@ -12,7 +12,8 @@ at least ``least``, by which texts are selected.
 Defined cases: a null text counts as empty, and an empty text scores nought
 before the thresholds. With no rated rows the expected grade and the tail
 probability are null and nothing is selected; with one grade only, every text
-has it. Repeated rows get equal results. A null id is never learnt from and is
+has it. Repeated rows get equal results; of rows that repeat an id with different
+texts the least text is learnt from, and of ratings the least. A null id is never learnt from and is
 held out. Other columns are not read.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from curatrix.llm.common import col, held_out
-from curatrix.llm.text import codes, mix, words
+from curatrix.llm.text import PIECE, codes, mix, words
 
 BUCKETS = 1 << 18
 SAMPLE = 6_000
@@ -36,17 +37,16 @@ SCALE = 30.0
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the character trigrams, of the words and of their marks."""
     points = codes(text or "")
-    wide = points.astype(np.uint64)
-    if len(wide) >= 3:
-        trigram = wide[:-2] << np.uint64(42) | wide[1:-1] << np.uint64(21) | wide[2:]
-    else:
-        trigram = np.zeros(0, dtype=np.uint64)
-    _, _, hashes = words(points)
     mask = np.uint64(BUCKETS - 1)
+    trigrams = np.empty(max(len(points) - 2, 0), dtype=np.int32)
+    for at in range(0, len(trigrams), PIECE):  # in pieces, as each needs eight times its own size
+        wide = points[at : at + PIECE + 2].astype(np.uint64)
+        trigrams[at : at + PIECE] = mix(wide[:-2] << np.uint64(42) | wide[1:-1] << np.uint64(21) | wide[2:], 1) & mask
+    _, _, hashes = words(points)
     marks = np.ones(len(hashes), dtype=np.uint64)
     marks[np.unique(hashes, return_index=True)[1]] = 0
     marks[1:][hashes[1:] == hashes[:-1]] = 2
-    return tuple((mix(x, k) & mask).astype(np.int32) for k, x in enumerate((trigram, hashes, marks), 1))
+    return trigrams, *((mix(x, k) & mask).astype(np.int32) for k, x in enumerate((hashes, marks), 2))
 
 
 @dataclass
@@ -85,11 +85,16 @@ def train(texts: list[str], ratings: np.ndarray, steps: int = 70, rate: float =
     grades = sorted(set(ratings.tolist()))
     if len(grades) < 2:
         return Model(grades, np.zeros(BUCKETS, dtype=np.float32), np.zeros(0))
-    parts = [features(t) for t in texts]
-    bucket = np.concatenate([b for p in parts for b in p])
-    owner = np.repeat(np.repeat(np.arange(len(texts)), 3), [len(b) for p in parts for b in p])
-    share = np.repeat([SCALE / max(len(b), 1) for p in parts for b in p], [len(b) for p in parts for b in p])
-    present, slot = np.unique(bucket, return_inverse=True)
+    buckets, shares, sizes = [], [], []
+    for text in texts:  # each different bucket of a text once, with its share of the text's score
+        own = [np.unique(b, return_counts=True) for b in features(text)]
+        buckets += [b for b, _ in own]
+        shares += [(SCALE * c / max(c.sum(), 1)).astype(np.float32) for _, c in own]
+        sizes.append(sum(len(b) for b, _ in own))
+    owner, share = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.concatenate(shares)
+    present, slot = np.unique(np.concatenate(buckets), return_inverse=True)
+    slot = slot.astype(np.int32)
+    del buckets, shares
     grade = np.searchsorted(grades, ratings)
     n, k = len(texts), len(grades) - 1
     cumulative = np.clip(np.cumsum(np.bincount(grade, minlength=k + 1))[:-1] / n, 1e-3, 1 - 1e-3)
