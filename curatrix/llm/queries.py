@@ -79,7 +79,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = fingerprints.compare(read(spark, sf_dir, "documents"))
-    return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shared_prefix")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
