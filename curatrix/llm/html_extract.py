@@ -5,23 +5,25 @@ folded into repeated groups; the pages of one host are then aligned with the
 host's wrapper one after the other. Where the streams differ, what only one of
 them has becomes optional, what repeats becomes a repeated group, and texts that
 differ become text slots. A wrapper so is a union-free expression over tags,
-fixed texts and slots, and every page of the host has part in it. Wrappers are
-merged in each task first, then over tasks, in salted steps, so that a host with
-a third of all pages is no task's burden.
+fixed texts and slots, and every page of the host has part in it. Pages of one
+form merge in any order, the forms of a host in the order of their digests, so
+the wrapper does not depend on how pages are dealt, and no task holds a host.
 
 From the wrapper follow the host's rules: where the main text lies, and which
-fixed texts outside an article are the template's: those that ``LEAST_PAGES``
-pages and more than half of the host's have at one place. The main text is the article
-(else the main element, else the deepest container outside which no page of the
+texts are the template's: those that ``LEAST_PAGES`` pages and more than half of
+the host's have at one place. The main text lies at the wrapper's article elements
+(else its main elements, else its deepest container outside which no page of the
 host has text but the template's and links; on hosts of few pages the whole page)
-without the parts that tags, roles, classes or ids name as menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments. An id names one
-only as a whole: all of its words must be such words, or outside an article words
-of place; a heading's id names nothing, and its classes count as a whole too. A
-heading in an article's own header stays.
+without the template's texts and the parts that tags, roles, classes or ids name as
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments,
+which often are slots as well. An id names one only as a whole: all of its words
+must be such words, or outside an article words of place; a heading's id names
+nothing, and its classes count as a whole too. A heading in an article's own
+header stays.
 
 Defined cases: null or empty html gives empty text. A null url is a host of its
-own name, the empty one. Unclosed and stray tags are borne. Nesting has no limit
+own name, the empty one. Unclosed and stray tags are borne; a tag that the page
+breaks off ends it. A page is parsed in time that goes with its length. Nesting has no limit
 where texts are taken out; in wrappers the texts beyond ``DEEPEST`` levels stand at
 that level. Pages are read whole. Repeated rows
 give repeated results. Other columns are not read. An empty table gives no rows.
@@ -31,6 +33,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -74,7 +77,8 @@ _OTHER_WORDS = frozenset(
 _PLACE_WORDS = frozenset("site page main primary secondary global top bottom left right container wrapper wrap area block box bar list".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+_OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_PLAIN, _BLANK = re.compile(r"[^>=]*"), re.compile(r"\s*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -112,40 +116,84 @@ def _element(name: str, attributes: str, within: bool = False) -> Node:
     return Node(kind, ".".join([kind, *sorted({w.lower() for w in _WORD.findall(found.get("class", ""))})]), other)
 
 
+class _Tags:
+    """The tags of a page in order, each found in time that goes with its length."""
+
+    def __init__(self, page: str):
+        self.page, self.unquoted = page, {"'": len(page) + 1, '"': len(page) + 1}
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes start at ``at``; -1 if it never does. A value is quoted only after its sign."""
+        page, n = self.page, len(self.page)
+        while True:
+            at = _PLAIN.match(page, at).end()
+            if at >= n:
+                return -1
+            if page[at] == ">":
+                return at
+            at = _BLANK.match(page, at + 1).end()
+            quote = page[at : at + 1]
+            if quote in self.unquoted and at < self.unquoted[quote]:
+                closing = page.find(quote, at + 1) if quote else -1
+                if closing < 0:  # no such mark ends from here on
+                    self.unquoted[quote] = at
+                else:
+                    at = closing + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, closing, attributes); comments and declarations have no name."""
+        page, at = self.page, 0
+        while found := _OPENING.search(page, at):
+            if found[1] or found[2]:
+                mark = "-->" if found[1] else ">"
+                end = page.find(mark, found.end())
+                at = len(page) if end < 0 else end + len(mark)
+                yield found.start(), at, "", False, ""
+                continue
+            end = self._end(found.end())
+            at = len(page) if end < 0 else end + 1
+            name = found[4].lower() if end >= 0 else ""  # a tag that the page breaks off is none
+            yield found.start(), at, name, bool(found[3]), page[found.end() : end] if end >= 0 else ""
+            if name in _RAW and not found[3] and not (name in ("svg", "math") and page[end - 1] == "/"):
+                closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                over = page.find(">", closing.end()) if closing else -1
+                at = len(page) if over < 0 else over + 1
+                yield found.end(), at, "", False, ""
+
+
 def tree(page: str) -> Node:
     """The balanced token stream of a page; texts are decoded strings among the nodes."""
     root = Node("", "", False)
     stack: list[tuple[str, Node]] = [("", root)]
+    opened: Counter[str] = Counter()
     at = 0
 
     def text(piece: str) -> None:
         if piece:
             stack[-1][1].kids.append(html.unescape(piece))
 
-    def close(names: set[str], walls: set[str]) -> None:
+    def cut(i: int) -> None:
+        for name, _ in stack[i:]:
+            opened[name] -= 1
+        del stack[i:]
+
+    def close(names: set[str], walls: set[str] = frozenset()) -> None:
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in walls:
                 return
 
-    while found := _TOKEN.search(page, at):
-        text(page[at : found.start()])
-        at = found.end()
-        name = (found[2] or "").lower()
-        if not name:
+    for start, end, name, closing, attributes in _Tags(page):
+        text(page[at:start] if start > at else "")
+        at = end
+        if not name or name in _RAW:
             continue
-        if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not found[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                at = end.end() if end else len(page)
+        if closing:
+            close({name})
             continue
         if name in _VOID:
             stack[-1][1].kids.append(Node(name, name, False) if name == "hr" else " " if name == "br" else "")
@@ -155,10 +203,11 @@ def tree(page: str) -> Node:
         if name in _ENDS:
             close(*_ENDS[name])
         within = stack[-1][1].within
-        node = _element(name, found[3], within)
+        node = _element(name, attributes, within)
         node.within = within or node.name == "article"
         stack[-1][1].kids.append(node)
         stack.append((name, node))
+        opened[name] += 1
     text(page[at:])
     return root
 
@@ -285,60 +334,81 @@ def _template(text: list, pages: int) -> bool:
 
 
 def rules(wrapper: list, pages: int) -> dict:
-    """Where the main text lies on pages of this wrapper, and the template's fixed texts."""
-    seen = {"article": False, "main": False}
-    fixed: list[str] = []
-
-    def weight(node: list) -> int:
+    """Where the main text lies on pages of this wrapper, and the template's fixed texts in and outside of it.
+
+    ``regions`` are paths of keys from the top: those of the article elements,
+    else of the main elements. One whose texts are links for the greater part is
+    a teaser where another one is not. Without either, it is the path to the
+    deepest container outside which no page has text but the template's and links.
+    """
+    found: dict[str, list[tuple[list[str], int, int]]] = {"article": [], "main": []}
+    fixed: dict[bool, set[str]] = {True: set(), False: set()}
+
+    def weights(node: list) -> tuple[int, int]:
+        """Characters of the page's own text that are not links, and of links."""
         if node[2]:
-            return 0
-        own = node[3][1] if node[3] is not None and not node[3][2] and not _template(node[3], pages) else 0
-        return own + sum(map(weight, node[4]))
+            return 0, 0
+        if node[3] is not None:
+            return (0, node[3][1]) if node[3][2] else (0 if _template(node[3], pages) else node[3][1], 0)
+        both = [weights(k) for k in node[4]]
+        return sum(x for x, _ in both), sum(y for _, y in both)
 
-    def walk(node: list, inside: bool) -> None:
-        name = node[0].partition(".")[0]
+    def walk(node: list, path: list[str], inside: str) -> None:
         if node[2]:
             return
-        if name in seen:
-            seen[name] = True
-        inside = inside or name == "article"
-        if node[3] is not None and not inside and _template(node[3], pages):
-            fixed.append(node[3][0])
+        if node[3] is not None:
+            if _template(node[3], pages):
+                fixed[inside == "article"].add(node[3][0])
+            return
+        name = node[0].partition(".")[0]
+        here = path if node[0][:1] in ("(", "") else [*path, node[0]]
+        if name in found and inside != "article" and name != inside:
+            found[name].append((here, *weights(node)))
+            inside = name
         for kid in node[4]:
-            walk(kid, inside)
-
-    walk(wrapper, False)
-    path: list[str] = []
-    if not any(seen.values()) and pages >= LEAST_PAGES:
-        node = wrapper
+            walk(kid, here, inside)
+
+    walk(wrapper, [], "")
+    regions = next((r for r in found.values() if r), [])
+    own = [path for path, text, links in regions if text >= links]
+    paths = own or [path for path, _, _ in regions]
+    if not paths and pages >= LEAST_PAGES:
+        path, node = [], wrapper
         while True:
-            total = weight(node)
-            best = max(node[4], key=weight, default=None)
-            if best is None or best[0] == "#" or weight(best) < total or not total or best[1] in "+*":
+            total = weights(node)[0]
+            best = max(node[4], key=lambda k: weights(k)[0], default=None)
+            if best is None or best[0] == "#" or weights(best)[0] < total or not total or best[1] in "+*":
                 break
             if best[0][:1] != "(":
                 path.append(best[0])
             node = best
         while path and path[-1].partition(".")[0] in ("p", "ul", "ol", "li", "table", "tr", "td", "span", "b", "i", "em", "strong", "a"):
             path.pop()
-    return {"path": path, "fixed": sorted(set(fixed))}
+        paths = [path] if path else []
+    return {"regions": paths, "inside": sorted(fixed[True]), "outside": sorted(fixed[False])}
 
 
 def extract(page: str | None, rule: dict | None = None) -> str:
-    """The main text of a page: its blocks, one a line."""
+    """The main text of a page: its blocks, one a line.
+
+    The host's rule says where it lies. A page that has no such place, or has no
+    rule, is read by its own article or main element, else whole. Template texts
+    are left out; inside an article only while they are its lesser part, as a page
+    that has most of its text from others is a copy of them.
+    """
     if not page:
         return ""
     root = tree(page)
-    region = _regions(root, "article") or _regions(root, "main") or _at(root, (rule or {}).get("path", [])) or [root]
-    whole = bool(region) and region[0].name == "article"
-    fixed = set() if whole or not rule else set(rule["fixed"])
+    region = _at(root, (rule or {}).get("regions", [])) or _regions(root, "article") or _regions(root, "main") or [root]
+    whole = region[0].name == "article"
+    fixed = set((rule or {}).get("inside" if whole else "outside", ()))
     blocks: list[str] = []
     piece: list[str] = []
 
     def flush() -> None:
         words = " ".join("".join(piece).split())
         piece.clear()
-        if words and not (fixed and hashlib.blake2b(words.encode(), digest_size=8).hexdigest() in fixed):
+        if words:
             blocks.append(words)
 
     for top in region:
@@ -362,6 +432,10 @@ def extract(page: str | None, rule: dict | None = None) -> str:
                     todo.append((None, False))
                 todo.extend((kid, only) for kid in reversed(node.kids))
         flush()
+    if fixed:
+        own = [b for b in blocks if hashlib.blake2b(b.encode(), digest_size=8).hexdigest() not in fixed]
+        if not whole or 2 * sum(map(len, own)) > sum(map(len, blocks)):
+            blocks = own
     return "\n".join(blocks)
 
 
@@ -379,60 +453,103 @@ def _regions(root: Node, name: str) -> list[Node]:
     return out
 
 
-def _at(root: Node, path: list[str]) -> list[Node]:
-    here = [root]
-    for key in path:
-        deeper = [k for n in here for k in n.kids if not isinstance(k, str) and k.key == key and not k.other]
-        if not deeper:
-            return []
-        here = deeper
-    return here if path else []
+def _at(root: Node, paths: list[list[str]]) -> list[Node]:
+    """The outermost elements at the paths, in page order, that are not part of something else."""
+    ways: dict = {}
+    for path in paths:
+        at = ways
+        for key in path:
+            at = at.setdefault(key, {})
+        at[None] = True
+    out, todo = [], [(root, ways)]
+    while todo:
+        node, way = todo.pop()
+        if None in way and node is not root:
+            out.append(node)
+            continue
+        todo.extend((k, way[k.key]) for k in reversed(node.kids) if not isinstance(k, str) and not k.other and k.key in way)
+    return out
 
 
 def host(url):
     return F.coalesce(F.regexp_extract(F.lower(url), "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
-_WRAPPERS = "host string, pages long, wrapper string"
+_WRAPPERS = "host string, form string, pages long, wrapper string"
+#: Forms of one host that a task merges.
+FORMS = 500
+
+
+def _form(wrapper: list) -> str:
+    """What tells a wrapper's form: its keys and quantifiers, without texts. Wrappers of one form merge in any order alike."""
+    digest = hashlib.blake2b(digest_size=16)
+
+    def walk(node: list) -> None:
+        digest.update(f"{node[0]}\0{node[1]}{int(node[2])}\0".encode())
+        for kid in node[4]:
+            walk(kid)
+        digest.update(b"\1")
+
+    walk(wrapper)
+    return digest.hexdigest()
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, pages, wrapper): each host's wrapper as JSON, over all of its pages."""
+    """(host, form, pages, wrapper): each host's wrapper as JSON, over all of its pages.
+
+    Pages of one form are merged wherever they meet; then the forms of a host in
+    the order of their digests, ``FORMS`` or so at a time, until one is left. The
+    result so does not depend on how the pages are dealt.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, list]] = {}
+        held: dict[tuple[str, str], tuple[int, list]] = {}
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shape = _shape(tree(page))
-                n, wrapper = held.get(name, (0, None))
-                held[name] = (n + 1, shape if wrapper is None else merge(wrapper, shape))
-            if len(held) > 20_000:
+                key = name, _form(shape)
+                n, wrapper = held.get(key, (0, None))
+                held[key] = (n + 1, shape if wrapper is None else merge(wrapper, shape))
+            if len(held) > 5_000:
                 yield _packed(held)
                 held = {}
         yield _packed(held)
 
+    def alike(key, table):
+        return pa.table(_packed({(key[0].as_py(), key[1].as_py()): _merged(table)}))
+
     def join(key, table):
-        n, wrapper = 0, None
-        for k, w in zip(table.column("pages").to_pylist(), table.column("wrapper").to_pylist()):
-            n, wrapper = n + k, json.loads(w) if wrapper is None else merge(wrapper, json.loads(w))
-        return pa.table(_packed({key[0].as_py(): (n, wrapper)}))
+        n, wrapper = _merged(table.sort_by("form"))
+        return pa.table(_packed({(key[0].as_py(), _form(wrapper)): (n, wrapper)}))
 
     rows = pages.select(host(col(url_col).cast("string")).alias("host"), col(html_col).cast("string").alias("html")).where("html IS NOT NULL AND html <> ''")
-    parts = rows.mapInArrow(gather, _WRAPPERS)
-    some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper", "pages"), F.lit(32)).alias("salt")).applyInArrow(join, _WRAPPERS)
-    return some.groupBy("host").applyInArrow(join, _WRAPPERS)
+    forms = rows.mapInArrow(gather, _WRAPPERS)
+    # Wrappers of one form are alike in any order, so hot ones go in two steps.
+    salted = forms.groupBy("host", "form", F.pmod(F.xxhash64("wrapper", "pages"), F.lit(32)).alias("salt")).applyInArrow(alike, _WRAPPERS)
+    left = materialize(salted.groupBy("host", "form").applyInArrow(alike, _WRAPPERS), "forms")
+    while (left.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        slots = left.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FORMS).alias("slots")).withColumnRenamed("host", "of")
+        dealt = left.join(slots, left["host"] == slots["of"]).drop("of").withColumn("slot", F.pmod(F.xxhash64("form"), F.col("slots")))
+        left = materialize(dealt.drop("slots").groupBy("host", "slot").applyInArrow(join, _WRAPPERS), "forms", instead=left)
+    return left
+
+
+def _merged(table: pa.Table) -> tuple[int, list]:
+    n, wrapper = 0, None
+    for k, w in zip(table["pages"].to_pylist(), table["wrapper"]):
+        n, wrapper = n + k, json.loads(w.as_py()) if wrapper is None else merge(wrapper, json.loads(w.as_py()))
+    return n, wrapper
 
 
-def _packed(held: dict[str, tuple[int, list]]):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([json.dumps(w, separators=(",", ":")) for _, w in held.values()], pa.string())],
-        names=["host", "pages", "wrapper"],
-    )
+def _packed(held: dict[tuple[str, str], tuple[int, list]]):
+    columns = [[h for h, _ in held], [f for _, f in held], [n for n, _ in held.values()], [json.dumps(w, separators=(",", ":")) for _, w in held.values()]]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "form", "pages", "wrapper"])
 
 
 def _ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [json.dumps(rules(json.loads(w), n)) for n, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        out = [json.dumps(rules(json.loads(w), n)) for n, w in zip(batch.column("pages").to_pylist(), batch.column("wrapper").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "rule"])
 
 
