@@ -5,8 +5,9 @@ non-ASCII characters. Every window of ``window`` consecutive words of a
 benchmark item is a pattern; an item with fewer words is one shorter pattern.
 Patterns of one length share a block shift table, keyed by two words: where the
 block under the search position ends no pattern, the search moves ahead by as
-much as no pattern can need. A shift of nought selects the suffix bucket, whose
-patterns are compared word by word.
+much as no pattern can need. Where a pattern's suffix block gives a shift of
+nought, the patterns of the window's hash are selected and compared word by word.
+All tables are sorted arrays over one array of the items' words.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no patterns. Repeated rows get the same result each. A text of any
@@ -17,8 +18,10 @@ read cannot clash. An empty benchmark finds nothing, an empty table gives no
 rows.
 """
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +29,10 @@ from pyspark.sql.functions import arrow_udf
 
 from curatrix.llm.common import col
 
-#: Bytes of benchmark text that one search's tables are built from. A larger
-#: benchmark is searched in blocks of about this size, one after the other.
-BLOCK_BYTES = 64 << 20
+#: Bytes of benchmark text that one search's tables are built from; they take some
+#: ten times as much, in the driver and in each worker. A larger benchmark is
+#: searched in blocks of about this size, one after the other.
+BLOCK_BYTES = 8 << 20
 
 _FOUND = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
 
@@ -44,40 +48,70 @@ def words(text: str | None) -> list[bytes]:
 
 
 class _Length:
-    """Shift table and suffix buckets for the patterns of one length."""
-
-    def __init__(self, m: int):
-        self.m, self.block = m, min(2, m)
-        self.shift: dict[tuple[int, ...], int] = {}
-        self.buckets: dict[tuple[int, ...], dict[tuple[int, ...], list[str]]] = {}
-
-    def add(self, pattern: tuple[int, ...], item: str) -> None:
-        b = self.block
-        for end in range(b, self.m + 1):
-            key, far = pattern[end - b : end], self.m - end
-            if far < self.shift.get(key, self.m - b + 1):
-                self.shift[key] = far
-        of = self.buckets.setdefault(pattern[self.m - b :], {}).setdefault(pattern, [])
-        if item not in of:
-            of.append(item)
-
-    def search(self, ids: list[int], found: list[tuple[int, int]], items: set[str]) -> None:
+    """Shift table and patterns of one length, as sorted arrays over the items' words."""
+
+    def __init__(self, m: int, words_: np.ndarray, starts: np.ndarray, item: np.ndarray):
+        self.m, self.block, self.words = m, min(2, m), words_
+        self.keys, self.shift = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for far in range(m - self.block + 1):  # the nearest end of a pattern counts
+            key = np.setdiff1d(_blocks(words_, starts + m - far - 1, self.block), self.keys)
+            both = np.concatenate([self.keys, key])
+            order = np.argsort(both)
+            self.keys, self.shift = both[order], np.concatenate([self.shift, np.full(len(key), far)])[order]
+        hashes = _windows(words_, starts, m)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts, self.item = hashes[order], starts[order], item[order]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.shift, self.hashes, self.starts, self.item))
+
+    def search(self, ids: np.ndarray, found: list[tuple[int, int]], items: set[int]) -> None:
         m, b, n = self.m, self.block, len(ids)
-        shift, furthest, at = self.shift.get, self.m - self.block + 1, self.m
-        while at <= n:
-            if ids[at - 1] < 0:  # no pattern has this word
-                at += m
-                continue
-            key = (ids[at - 2], ids[at - 1]) if b == 2 else (ids[at - 1],)
-            step = shift(key, furthest)
-            if step:
-                at += step
-                continue
-            of = self.buckets[key].get(tuple(ids[at - m : at]))
-            if of:
-                found.append((at - m, at))
-                items.update(of)
-            at += 1
+        if n < m:
+            return
+        last = np.arange(m - 1, n)
+        key = _blocks(ids, last, b)
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        steps = np.where(self.keys[at] == key, self.shift[at], m - b + 1)
+        steps[ids[last] < 0] = m  # no pattern has this word
+        if steps.all():
+            return
+        ends, steps, at, stop = [], steps.tolist(), 0, n - m + 1
+        while at < stop:
+            step = steps[at]
+            if not step:
+                ends.append(at)
+                step = 1
+            at += step
+        starts = np.array(ends, dtype=np.int64)
+        hashes = _windows(ids, starts, m)
+        low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, side="right")
+        for k in np.flatnonzero(high > low):
+            start, hit = int(starts[k]), False
+            for j in range(low[k], high[k]):
+                if np.array_equal(self.words[self.starts[j] : self.starts[j] + m], ids[start : start + m]):
+                    items.add(int(self.item[j]))
+                    hit = True
+            if hit:
+                found.append((start, start + m))
+
+
+def _blocks(ids: np.ndarray, last: np.ndarray, block: int) -> np.ndarray:
+    """The key of the one or two words that end at each place; -1 where one of them is in no pattern."""
+    if block == 1:
+        return ids[last].astype(np.int64)
+    before, own = ids[last - 1].astype(np.int64), ids[last].astype(np.int64)
+    return np.where((before < 0) | (own < 0), -1, before << 32 | own)
+
+
+def _windows(ids: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    """A hash of the m words from each start."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for j in range(m):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[starts + j].astype(np.uint64) + np.uint64(1)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class Matcher:
@@ -85,26 +119,35 @@ class Matcher:
 
     def __init__(self, benchmark: list[tuple[str, str | None]], window: int = 10):
         self.ids: dict[bytes, int] = {}
-        lengths: dict[int, _Length] = {}
+        self.items = sorted({item for item, _ in benchmark}, key=lambda i: (i is None, i or ""))
+        number = {item: k for k, item in enumerate(self.items)}
+        flat, starts = array("i"), {}
         for item, text in benchmark:
-            sequence = tuple(self.ids.setdefault(w, len(self.ids)) for w in words(text))
-            m = min(window, len(sequence))
-            if not m:
-                continue
-            of = lengths.setdefault(m, _Length(m))
-            for start in range(len(sequence) - m + 1):
-                of.add(sequence[start : start + m], item)
-        self.lengths = list(lengths.values())
+            first = len(flat)
+            flat.extend(self.ids.setdefault(w, len(self.ids)) for w in words(text))
+            n = len(flat) - first
+            m = min(window, n)
+            if m:
+                at, of = starts.setdefault(m, (array("q"), array("i")))
+                at.extend(range(first, first + n - m + 1))
+                of.extend([number[item]] * (n - m + 1))
+        sequence = np.array(flat, dtype=np.int32)
+        self.lengths = [_Length(m, sequence, np.array(at, dtype=np.int64), np.array(of, dtype=np.int32)) for m, (at, of) in sorted(starts.items())]
+
+    def nbytes(self) -> int:
+        """Bytes of the tables, without the words themselves."""
+        return sum(x.nbytes() for x in self.lengths) + (self.lengths[0].words.nbytes if self.lengths else 0)
 
     def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
-        """Number of words, merged spans of hit words, items as sorted strings."""
+        """Number of words, merged spans of hit words, items as sorted strings, a null last."""
+        own = words(text)
         get = self.ids.get
-        ids = [get(w, -1) for w in words(text)]
+        ids = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
         found: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[int] = set()
         for of in self.lengths:
             of.search(ids, found, items)
-        return len(ids), _merged(found), sorted(items, key=lambda i: (i is None, i or ""))
+        return len(own), _merged(found), [self.items[k] for k in sorted(items)]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
