@@ -16,8 +16,9 @@ hold the assistant's escaped texts.
 Defined cases: a null text or role counts as empty. Equal turns of one
 conversation are ordered by role, then text. A message whose parent is not there
 is a root. Messages that answer each other in a circle are on no path and in no
-conversation. Repeated message ids of one tree are told apart by ``linear`` only;
-``paths`` expects them different. An empty table gives no rows. Other columns
+conversation. A message without an id can answer but not be answered. Of messages
+that repeat an id of their tree, the least by parent, role, text and score is the
+one that others answer; the rest can only answer. A null tree is a tree. An empty table gives no rows. Other columns
 are not read. A conversation is one output row, so its size is bounded by the
 conversation's own.
 """
@@ -84,6 +85,16 @@ def linear(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return rows.select("tree", "id", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def told_apart(messages: DataFrame) -> DataFrame:
+    """``messages`` with ids that differ within their tree: those missing or repeated get new ones below all others."""
+    order = ["parent", "role", "text", "score"]
+    nth = F.row_number().over(W.partitionBy("tree", "id").orderBy(*order))
+    rows = messages.withColumn("own", F.col("id").isNotNull() & (nth == 1))
+    least = F.coalesce(F.min("id").over(W.partitionBy("tree")), F.lit(0).cast("long"))
+    below = least - F.row_number().over(W.partitionBy("tree", "own").orderBy("id", *order))
+    return rows.withColumn("new", F.when(F.col("own"), F.col("id")).otherwise(below)).drop("id", "own").withColumnRenamed("new", "id")
+
+
 def _runs(nodes: DataFrame) -> DataFrame:
     """(tree, id, parent, score, run, place): each message's run, by its first id, and place there."""
     answers = nodes.groupBy("tree", "parent").agg(F.count(F.lit(1)).alias("n"))
@@ -116,7 +127,7 @@ def _runs(nodes: DataFrame) -> DataFrame:
 def paths(messages: DataFrame, best: int | None = 1) -> tuple[DataFrame, DataFrame]:
     """(tree, leaf, rank, score, place, run): the runs on each chosen path, in order; and the messages' runs.
 
-    ``messages`` has the columns of ``linear``. ``best`` paths of each tree are
+    ``messages`` has the columns of ``linear``, with ids that differ within a tree. ``best`` paths of each tree are
     chosen, all if it is None.
     """
     nodes = _runs(messages.select("tree", "id", "parent", "score"))
@@ -149,8 +160,12 @@ def paths(messages: DataFrame, best: int | None = 1) -> tuple[DataFrame, DataFra
     return out, nodes
 
 
-def conversations(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """(tree, leaf, rank, formatted, starts, ends): one row for each chosen path."""
+def conversations(messages: DataFrame, best: int | None = 1, numbered: bool = False) -> DataFrame:
+    """(tree, leaf, rank, formatted, starts, ends): one row for each chosen path.
+
+    ``numbered`` says that ids are there and differ, as those of ``linear`` do.
+    """
+    messages = messages if numbered else materialize(told_apart(messages), "messages")
     chosen, nodes = paths(messages, best)
     at = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("run").alias("r"), F.col("place").alias("within"))
     texts = messages.select(F.col("tree").alias("t3"), F.col("id").alias("i3"), "role", "text")

@@ -14,7 +14,8 @@ that a third of all texts share is split by the adaptive join.
 Defined cases: a null text stays null. A text of fewer lines than a window has
 none and stays. A window of blank lines is none. A text whose lines are all
 removed becomes empty; its row stays. Rows of equal id and text count as one
-place, so all of them keep a first occurrence. A null id comes first. Other
+place, so all of them keep a first occurrence. A null id comes first, as the least
+id there is. Other
 columns pass unread, whatever their names.
 """
 

@@ -41,6 +41,10 @@ _WORD_END = "([A-Za-zÀ-ƺ])([^A-Za-zÀ-ƺ\x00'])"
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ƺ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ƺ]+|\\s")
 
 
+#: Texts by which merging by rank is held against the tokenizer when a worker starts.
+_PROBES = ["It's a test: we'll see 3.14, don't we?\nNew line\tand tab (x_y) [1234567890]!", "déjà vu Überraschung naïve ñandú", "aaaaaaaa the there thereabouts antidisestablishmentarianism", " lead", "a", "\n"]
+
+
 class Encoder:
     """Ids of the byte-level BPE in a tokenizers JSON file.
 
@@ -59,6 +63,17 @@ class Encoder:
         self.ranked = _ranked(json.loads(self.tokenizer.to_str()), self.special)
         self.known: dict[str, bytes] = {}
         self.cache = cache
+        if self.ranked is not None and not self._agrees():
+            self.ranked = None
+
+    def _agrees(self) -> bool:
+        """Whether merging by rank gives the tokenizer's own ids; if not, all texts go to the tokenizer."""
+        try:
+            return all((ids == self.whole(t)).all() for t, ids in zip(_PROBES, self.batch(pa.array(_PROBES)), strict=True))
+        except (AttributeError, KeyError, TypeError, ValueError):
+            return False
+        finally:
+            self.known.clear()
 
     def whole(self, text: str) -> np.ndarray:
         """A text's ids, by the tokenizer alone."""

@@ -37,7 +37,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     messages = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    out = chat_format.conversations(chat_format.linear(messages))
+    out = chat_format.conversations(chat_format.linear(messages), numbered=True)
     kind = "struct<n_turns:bigint,turns_sha256:string,loss_chars:bigint,loss_sha256:string,formatted_chars:bigint>"
     return out.select(F.col("tree").alias("conv_id"), arrow_udf(chat_format.read_back, kind)("formatted", "starts", "ends").alias("d")).select("conv_id", "d.*")
 
