@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -73,8 +75,8 @@ def test_language_id(spark):
 def test_kneser_ney_sums_to_one():
     s = language_id.symbols("abracadabra abacus cadabra")
     keys, n = np.unique(language_id.grams(s), return_counts=True)
-    model = language_id.train(np.array(["x"] * len(keys), dtype=object), keys.view(np.int64), n.astype(float))
     alphabet = np.unique(s)
+    model = language_id.joined({"x": language_id.train(keys.view(np.int64), n.astype(float), len(alphabet))}, len(alphabet))
     for context in ("abr", "cad", "zzz", "a c"):
         head = 0
         for c in context:
@@ -100,6 +102,56 @@ def test_no_counted_gram_is_left_out_of_a_large_model(spark):
     assert results[0] == results[1]
 
 
+class _PlainKneserNey:
+    """Interpolated Kneser-Ney by dictionaries and its textbook formula, one n-gram at a time."""
+
+    def __init__(self, texts, alphabet, order=4):
+        self.order, self.alphabet = order, alphabet
+        self.count = {order: Counter()}
+        for t in texts:
+            s = " " * (order - 1) + _spaced(t)
+            self.count[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+        for k in range(order - 1, 0, -1):
+            self.count[k] = Counter(g[1:] for g in self.count[k + 1])
+        self.discount, self.total, self.kinds = {}, {}, {}
+        for k, c in self.count.items():
+            once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            self.discount[k] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+            self.total[k], self.kinds[k] = Counter(), Counter()
+            for g, v in c.items():
+                self.total[k][g[:-1]] += v
+                self.kinds[k][g[:-1]] += 1
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (self.alphabet + 1)
+        total = self.total[k][gram[:-1]]
+        if not total:
+            return self.p(gram[1:])
+        return max(self.count[k][gram] - self.discount[k], 0) / total + self.discount[k] * self.kinds[k][gram[:-1]] / total * self.p(gram[1:])
+
+    def score(self, text):
+        s = " " * (self.order - 1) + _spaced(text)
+        return float(np.mean([math.log(self.p(s[i : i + self.order])) for i in range(len(s) - self.order + 1)]))
+
+
+def _spaced(text):
+    """Letters with one space for every run of others that follows one."""
+    return re.sub(r"[\W\d_]+", " ", text.lower()).lstrip()
+
+
+def test_language_models_against_the_formula(spark):
+    rng = random.Random(19)
+    rows = [(i, t + rng.choice(["", " 42!", " naïve Ünder"]), lang) for i, t, lang in languages(rng)]
+    model = language_id.fit(frame(spark, rows, "doc_id long, text string, lang string"))
+    learnt = {lang: [t for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)] for lang in model.langs}
+    alphabet = len({c for ts in learnt.values() for t in ts for c in _spaced(t)} | {" "})
+    plain = [_PlainKneserNey(learnt[lang], alphabet) for lang in model.langs]
+    for _, t, _ in rows[:25] + [(0, "something Else zq é", None)]:
+        assert model.score(language_id.symbols(t)).tolist() == pytest.approx([m.score(t) for m in plain], abs=2e-4)
+
+
 # 2 line dedup
 
 def brute_lines(rows, size=3):
@@ -185,13 +237,33 @@ def test_reply_trees(spark):
         assert got == sorted((t, n + 1, p[2]) for t, ps in best.items() for n, p in enumerate(sorted(ps)[:k]))
 
 
+def test_messages_without_and_with_equal_ids(spark):
+    rows = [("t", 1, None, "user", "root", 1.0), ("t", 2, 1, "assistant", "b", 1.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 3, 2, "user", "after", 1.0), ("t", None, 1, "user", "nameless", 1.0), (None, None, None, "user", "alone", 0.0)]
+    got = chat_format.conversations(spark.createDataFrame(rows, "tree string, id long, parent long, role string, text string, score double"), best=None).collect()
+    assert sorted([t for _, t in chat_format.parse(r["formatted"])] for r in got) == [["alone"], ["root", "a", "after"], ["root", "b"], ["root", "nameless"]]
+
+
 # 4 near-dedup
 
-def brute_classes(spark, docs, k=5):
-    base = docs.select("doc_id", "text")
-    counts, n = near_dedup.frequencies(base.select("text"), k)
-    weigher, rows = near_dedup.Weigher(counts, n, k), [(r["doc_id"], r["text"]) for r in base.collect()]
-    sets = [weigher.weigh(near_dedup._hashes(t)) for _, t in rows]
+def plain_shingles(text, k=5):
+    found = re.findall(r"[^\W_]+", text.lower())
+    return [tuple(found)] if 0 < len(found) < k else [tuple(found[i : i + k]) for i in range(len(found) - k + 1)]
+
+
+def plain_frequencies(texts, k=5):
+    """How many different texts have each shingle, and their number."""
+    once = {tuple(re.findall(r"[^\W_]+", t.lower())) or t: set(plain_shingles(t, k)) for t in texts if t is not None}
+    return Counter(x for own in once.values() for x in own), len(once)
+
+
+def brute_classes(docs, k=5):
+    """Classes by all pairs, with words, weights and similarities of its own; nothing of the module but its settings."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    df, n = plain_frequencies([t for _, t in rows], k)
+    sets = []
+    for _, t in rows:
+        tf = Counter(plain_shingles(t, k))
+        sets.append({x: c * math.log(1 + n / max(df[x], n / near_dedup.RARE)) for x, c in tf.items()})
     root = list(range(len(rows)))
 
     def find(x):
@@ -201,7 +273,9 @@ def brute_classes(spark, docs, k=5):
 
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][1].split() == rows[j][1].split() or near_dedup.similarity(sets[i], sets[j]) >= near_dedup.THRESHOLD:
+            shared = sum(min(w, sets[j].get(x, 0.0)) for x, w in sets[i].items())
+            total = sum(sets[i].values()) + sum(sets[j].values()) - shared
+            if rows[i][1] == rows[j][1] or total and shared / total >= near_dedup.THRESHOLD:
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -209,6 +283,21 @@ def brute_classes(spark, docs, k=5):
     return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
 
 
+@pytest.mark.parametrize("copies_of_one", [0, 400])
+def test_common_shingles_are_counted_exactly(spark, monkeypatch, copies_of_one):
+    monkeypatch.setattr(near_dedup, "_TEXTS", 7)
+    rng = random.Random(8)
+    common = [prose(rng, 12) for _ in range(4)]
+    texts = [" ".join([prose(rng, 20), *(c for j, c in enumerate(common) if rng.random() < (0.5, 0.12, 0.05, 0.07)[j]), prose(rng, 9)]) for _ in range(120)]
+    texts += [texts[0]] * copies_of_one + [None, "", "!?"]
+    rng.shuffle(texts)
+    df, n = plain_frequencies(texts)
+    keys, counts, told = near_dedup.frequencies(frame(spark, list(enumerate(texts))).select("text"), 5)
+    assert told == n
+    assert sorted(counts.tolist()) == sorted(c for c in df.values() if c > n / near_dedup.RARE) and len(counts) > 4
+    assert (np.diff(keys.astype(object)) > 0).all()
+
+
 def copies(rng):
     """Exact copies, copies of copies, a family round one original, texts that share a passage."""
     rows, passage = [], prose(rng, 40)
@@ -234,7 +323,7 @@ def copies(rng):
 def test_near_dedup_against_all_pairs(spark):
     docs = frame(spark, copies(random.Random(4)))
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs).collect()}
-    assert got == brute_classes(spark, docs)
+    assert got == brute_classes(docs)
     kept = {r["doc_id"] for r in near_dedup.deduplicate(docs).collect()}
     assert kept == set(got.values())
 
@@ -246,7 +335,7 @@ def test_sampling_estimates_similarity():
     w = np.concatenate([a[1][40:], rng.uniform(1, 3, 60).astype(np.float32)])
     b = (b[0], w)
     drawn = near_dedup.sample(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.array([0, 240, 500]), 600)
-    exact = near_dedup.similarity(((a[0] >> np.uint64(32)).astype("<u4"), a[1]), ((b[0] >> np.uint64(32)).astype("<u4"), b[1]))
+    exact = near_dedup.similarity(a, b)
     assert (drawn[0] == drawn[1]).mean() == pytest.approx(exact, abs=0.07)
 
 
@@ -263,11 +352,21 @@ def test_near_dedup_cases(spark):
 def test_large_buckets_lose_no_pair(spark, monkeypatch, bands):
     docs = frame(spark, copies(random.Random(15)))
     want = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs, rows=1, bands=bands).collect()}
-    monkeypatch.setattr(near_dedup, "SPLIT", 2)
+    monkeypatch.setattr(near_dedup, "DEALT", 3)  # members over many tasks
+    monkeypatch.setattr(near_dedup, "LEADERS", (1,))  # and more left for the search
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4_000)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs, rows=1, bands=bands).collect()}
     assert got == want and len(set(got.values())) < len(got) - 40
 
 
+def test_equal_ids_keep_the_least_text(spark):
+    text = prose(random.Random(3), 30)
+    rows = [(1, text + "!", "b"), (1, text + " ", "z"), (1, text + " ", "a"), (-(1 << 63), "x y z", "n"), (None, "x y z", "m")]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    got = {tuple(r) for r in near_dedup.deduplicate(docs).collect()}
+    assert got == {(1, text + " ", "a"), (None, "x y z", "m")}
+
+
 # 5 toxicity
 
 def marked(rng, n=400):
@@ -418,6 +517,16 @@ def test_items_without_an_id_are_searched_for(spark, block_bytes):
     assert [r["doc_id"] for r in decontaminate.clean(docs, items, block_bytes=block_bytes).collect()] == [4]
 
 
+def test_matcher_tables_are_small():
+    rng = random.Random(6)
+    texts = [(f"i{i}", " ".join(f"w{rng.randrange(20_000)}" for _ in range(300))) for i in range(300)]
+    matcher = decontaminate.Matcher(texts)
+    assert matcher.nbytes() < 14 * sum(len(t) for _, t in texts)
+    repeated = decontaminate.Matcher([("a", "x " * 400), ("b", "x y"), (None, "x y"), ("c", "")])
+    n, spans, items = repeated.search("q " + "x " * 12 + "y q")
+    assert (n, spans, items) == (15, [(1, 14)], ["a", "b", None])
+
+
 # 9 fingerprints
 
 def test_prefix_arrays_answer_spans_and_extensions():
@@ -539,3 +648,116 @@ def test_deep_nesting_keeps_blocks_and_other_regions(spark):
     rows = [(i, "http://deep.example/", deep.replace("<p>a", f"<p>a{i}")) for i in range(4)]
     got = html_extract.main_texts(frame(spark, rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == {i: f"a{i}\nb" for i in range(4)}
+
+
+def story(i, extra=""):
+    return f"<html><body><ul class=top><li><a href=/>Home</a></li></ul><div class=story><h2>Title {i}</h2><p>Body text {i} of its own</p>{extra}<p>Closing words {i * 7}</p></div></body></html>"
+
+
+def test_what_one_page_alone_has_stays():
+    pages = [story(1), story(2, "<blockquote>Only here</blockquote><p>And this</p>"), story(3), story(4)]
+    got = ruled(pages)
+    assert got[1].split("\n") == ["Title 2", "Body text 2 of its own", "Only here", "And this", "Closing words 14"]
+    assert all(g.startswith("Title") for g in got)
+
+
+def article(i, body):
+    return f"<html><body><article><p class=lead>Read this first</p><h1>Head {i}</h1>{body}<p class=end>Thanks for reading</p></article></body></html>"
+
+
+def test_template_texts_in_articles_go_and_copies_stay():
+    own = [article(i, f"<p>A body of page {i} that is longer than what all pages share with one another</p>") for i in range(5)]
+    assert ruled(own)[2].split("\n") == ["Head 2", "A body of page 2 that is longer than what all pages share with one another"]
+    same = "<p>The very same body stands on most pages of this host</p>"
+    mixed = [article(7, same)] * 4 + [article(8, "<p>Another body altogether, found on one page of it alone</p>")]
+    assert ruled(mixed)[0].split("\n") == ["Head 7", "The very same body stands on most pages of this host"]
+    copies_ = [article(7, same)] * 4  # nothing tells what is the template's
+    assert ruled(copies_)[0].split("\n") == ["Read this first", "Head 7", "The very same body stands on most pages of this host", "Thanks for reading"]
+
+
+def test_the_wrapper_tells_teasers_from_the_article():
+    page = "<html><body><div class=grid><article class=card><a href=/a>Another story {0}</a></article><article class=card><a href=/b>One more {0}</a></article></div><article><h1>Main {0}</h1><p>The text of {0}</p></article></body></html>"
+    assert ruled([page.format(i) for i in range(4)])[3] == "Main 3\nThe text of 3"
+    alone = html_extract.extract(page.format(3))
+    assert alone.startswith("Another story 3")  # without a wrapper nothing tells them apart
+
+
+def test_wrappers_do_not_depend_on_the_deal(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice([f"<h2>H{i}</h2>", f"<p>text {i}</p>", "<hr>", f"<ul><li>x{i}<li>y</ul>", f"<div class=c{rng.randrange(4)}>z{i}</div>"]) for _ in range(rng.randrange(2, 7))]
+        rows.append((i, f"http://h{i % 2}/{i}", "<body>" + "".join(parts) + "</body>"))
+    schema = "page_id long, url string, html string"
+    found = []
+    for deal, forms in ((1, 500), (5, 500), (7, 500), (3, 4), (6, 4)):
+        monkeypatch.setattr(html_extract, "FORMS", forms)
+        pages = spark.createDataFrame(rows if deal % 2 else rows[::-1], schema).repartition(deal)
+        found.append({r["host"]: (r["pages"], r["wrapper"]) for r in html_extract.infer(pages).collect()})
+    assert found[0] == found[1] == found[2] and found[3] == found[4]
+    assert {n for n, _ in found[3].values()} == {30}
+
+
+def test_broken_pages_take_no_longer_than_others():
+    import time
+
+    worst = ['<a "' * 40_000, '<a "' * 40_001 + ">", "<div>" * 40_000 + "</b>" * 40_000, "</script " * 20_000 + "<script>" + "</script " * 40_000, "<a b='" * 40_000 + '">x']
+    for page in worst:
+        start = time.monotonic()
+        html_extract.tree(page)
+        assert time.monotonic() - start < 3
+    assert html_extract.extract('<p>one</p><p class="x>two</p><p>three</p>') == "one\ntwo\nthree" and html_extract.extract("<p>kept</p><a href=") == "kept"
+
+
+class _Plain(HTMLParser):
+    """The blocks of the article but for its excluded elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.words, self.inside, self.out = [], "", 0, 0
+
+    def flush(self):
+        if " ".join(self.words.split()):
+            self.blocks.append(" ".join(self.words.split()))
+        self.words = ""
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "article":
+            self.inside += 1
+        if tag in ("p", "h1", "li", "blockquote", "aside", "div", "article"):
+            self.flush()
+        if tag in ("aside", "script") or dict(attributes).get("class") == "ad":
+            self.out += 1
+        elif self.out and tag == "div":
+            self.out += 1
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "li", "blockquote", "aside", "div", "article"):
+            self.flush()
+        if tag in ("aside", "script") or tag == "div" and self.out:
+            self.out -= 1
+        if tag == "article":
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.words += data
+
+
+def test_extraction_against_another_parser(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(80):
+        word = lambda: rng.choice(["alpha", "b &amp; c", "déjà", "x &lt; y", "two  spaces", "line\nend"]) + str(rng.randrange(1000))
+        inner = lambda: " ".join(rng.choice([word(), f"<b>{word()}</b>", f"<a href='/{i}'>{word()}</a>"]) for _ in range(rng.randrange(1, 5)))
+        block = lambda: rng.choice([f"<p>{inner()}</p>", f"<ul><li>{inner()}</li><li>{inner()}</li></ul>", f"<blockquote>{inner()}</blockquote>", f"<div class=ad><div>{inner()}</div></div>", f"<aside>{inner()}</aside>", f"<script>var a = '<p>{i}</p>';</script>", f"<!-- {i} --><p>{inner()}</p>"])
+        body = "".join(block() for _ in range(rng.randrange(1, 9)))
+        rows.append((i, f"http://host{i % 3}.example/{i}", f"<!doctype html><html><body><nav>{inner()}</nav><article><h1>{word()}</h1>{body}</article><footer>{inner()}</footer></body></html>"))
+    wanted = {}
+    for i, _, page in rows:
+        plain = _Plain()
+        plain.feed(page)
+        plain.close()
+        wanted[i] = "\n".join(plain.blocks)
+    got = {r["page_id"]: r["text"] for r in html_extract.main_texts(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == wanted

@@ -24,7 +24,7 @@ def data(spark, tmp_path_factory):
         bad = i % 4 == 0
         texts.append(" ".join(["horridword" if bad and k % 25 == 3 else w for k, w in enumerate(prose(rng, 70).split())]))
         labels.append((len(texts) - 1, int(bad)))
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(9000, None, None, None, None), (9001, "", "en", "s", 0)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, texts[0] + " end", None, None, None), (0, texts[0], "en", "s", len(texts[0]))]
     spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
@@ -46,7 +46,7 @@ def test_stages(spark, data):
     assert all(r["n_chars"] == len(r["text"]) for r in single.collect() if r["text"] is not None)
 
     unique = corpus_pipeline.materialize(near(spark, single, d), "t3")
-    classes = brute_classes(spark, single.where("text IS NOT NULL"))
+    classes = brute_classes(single.where("text IS NOT NULL"))
     assert unique.columns == columns and set(texts(unique)) == set(classes.values()) | {9000}
 
     clean = corpus_pipeline.materialize(benchmark(spark, unique, d), "t4")
