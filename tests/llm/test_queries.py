@@ -28,11 +28,11 @@ def tables(spark, tmp_path_factory):
         lang = rng.choice(list(TEXTS))
         text = " ".join(rng.choice(TEXTS[lang].split()) + rng.choice(["", "", ",", "\n"]) for _ in range(rng.randrange(8, 90)))
         bad = i % 4 == 0
-        documents.append((i * 3, f"{text} foulword {text}" if bad else text, lang if i % 9 else None, "web", len(text)))
+        documents.append((i * 3, f"{text} foulword vilephrase {text}" if bad else text, lang if i % 9 else None, "web", len(text)))
         labels.append((i * 3, i % 3, int(bad)))
     documents += [(3000, None, None, None, None), (3001, "", "aa", "web", 0), (3002, " 12 !? ", "aa", "web", 7), (3003, documents[5][1], "aa", "web", 1), (3004, "𝔸 é́ ✓ " * 40, None, None, 1)]
     passages = [prose(rng, 14), prose(rng, 10), prose(rng, 3), ""]
-    documents += [(4000 + k, f"{documents[k][1]} {p.upper()} {documents[k + 1][1]}", "aa", "web", 1) for k, p in enumerate(passages)]
+    documents += [(4000 + k, f"{documents[k][1]} {p.upper()} {documents[k + 1][1]}", None, "web", 1) for k, p in enumerate(passages)]
     lines = "\n".join(prose(rng, 6) for _ in range(4))
     documents += [(4100 + k, f"{prose(rng, 9)}\n{lines}\n{prose(rng, 9)}", "aa", "web", 1) for k in range(5)]
     benchmark = [(k, p) for k, p in enumerate(passages)] + [(9, passages[0])]
