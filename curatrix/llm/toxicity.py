@@ -22,6 +22,7 @@ repeat an id with different texts the least text is learnt from. A null id is
 never learnt from and is held out. Other columns are not read.
 """
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,8 @@ WINDOW = 4
 SAMPLE = 3_000
 #: Characters that are looked at together; a longer text goes in pieces.
 _CHUNK = 1 << 18
+#: Different words whose n-grams are looked at together in training.
+_WORDS = 1 << 15
 
 
 def _bags(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,23 +160,22 @@ class Model:
 
 
 def _learnt(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Text and number of every word in order; bucket and word of each n-gram."""
-    known = np.zeros(0, dtype=np.uint64)
-    bags, order = [], []
+    """Text and number of every word in order; the buckets of each word's n-grams, word by word, and how many it has."""
+    keys, ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    of_text, numbers, grams, sizes = (array("i") for _ in range(4))  # they grow in place
     for text, number, points, starts, ends, hashes in _counted(texts):
-        at = np.searchsorted(known, hashes)
-        at[at == len(known)] = 0
-        new = known[at] != hashes if len(known) else np.ones(len(hashes), dtype=bool)
+        at = np.searchsorted(keys, hashes)
+        at[at == len(keys)] = 0
+        new = keys[at] != hashes if len(keys) else np.ones(len(hashes), dtype=bool)
         buckets, owners = _bags(points, starts[new], ends[new])
-        bags.append((hashes[new], buckets, owners))
-        known = np.union1d(known, hashes)
-        order.append((text.astype(np.int32), hashes, number.astype(np.int32)))
-    buckets = np.concatenate([b for _, b, _ in bags])
-    owners = np.concatenate([np.searchsorted(known, h)[o].astype(np.int32) for h, _, o in bags])
-    del bags
-    text = np.concatenate([t for t, _, _ in order])
-    number = np.concatenate([np.searchsorted(known, h).astype(np.int32)[n] for _, h, n in order])
-    return text, number, buckets, owners
+        grams.frombytes(buckets[np.argsort(owners, kind="stable")].tobytes())
+        fresh = np.arange(len(sizes), len(sizes) + int(new.sum()), dtype=np.int32)
+        sizes.frombytes(np.bincount(owners, minlength=len(fresh)).astype(np.int32).tobytes())
+        order = np.argsort(np.concatenate([keys, hashes[new]]))
+        keys, ids = np.concatenate([keys, hashes[new]])[order], np.concatenate([ids, fresh])[order]
+        of_text.frombytes(text.astype(np.int32).tobytes())
+        numbers.frombytes(ids[np.searchsorted(keys, hashes)][number].tobytes())
+    return tuple(np.frombuffer(x, dtype=np.int32) for x in (of_text, numbers, grams, sizes))
 
 
 def train(
@@ -194,17 +196,30 @@ def train(
     if labels[kept].min() == labels[kept].max():
         held = kept = order
     y, n_texts = labels[kept], len(kept)
-    text, number, buckets, owners = _learnt([texts[t] for t in kept])
-    n_words = int(number.max()) + 1 if len(number) else 0
-    grams = np.maximum(np.bincount(owners, minlength=n_words), 1).astype(np.float32)
+    text, number, buckets, sizes = _learnt([texts[t] for t in kept])
+    n_words = len(sizes)
+    grams = np.maximum(sizes, 1).astype(np.float32)
+    ends = np.cumsum(sizes, dtype=np.int64)
     # n-grams that too few texts have would only learn those texts' labels by heart
-    own = np.unique(text.astype(np.int64) << 32 | number) & 0xFFFFFFFF
-    spread = np.bincount(buckets, np.bincount(own, minlength=n_words)[owners], BUCKETS)
-    common = spread[buckets] >= max(3, least * n_texts)
-    present, slot = np.unique(buckets[common], return_inverse=True)
-    slot, owners = slot.astype(np.int32), owners[common]
-    del buckets, common, spread, own
+    texts_of = np.bincount(np.unique(text.astype(np.int64) << 32 | number) & 0xFFFFFFFF, minlength=n_words)
+    lots = [(w, min(w + _WORDS, n_words)) for w in range(0, n_words, _WORDS)]
+    span = lambda lot: slice(int(ends[lot[0]] - sizes[lot[0]]), int(ends[lot[1] - 1]))
+    spread = np.zeros(BUCKETS)
+    for lot in lots:
+        spread += np.bincount(buckets[span(lot)], np.repeat(texts_of[slice(*lot)], sizes[slice(*lot)]), BUCKETS)
+    frequent = spread >= max(3, least * n_texts)
+    present, rank = np.flatnonzero(frequent), (np.cumsum(frequent) - 1).astype(np.int32)
+    common = frequent[buckets]
+    size_of = np.zeros(n_words, dtype=np.int64)
+    for lot in lots:
+        owner = np.repeat(np.arange(lot[1] - lot[0]), sizes[slice(*lot)])
+        size_of[slice(*lot)] = np.bincount(owner[common[span(lot)]], minlength=lot[1] - lot[0])
+    slot = rank[buckets[common]]
+    first_of = np.cumsum(size_of) - size_of
+    del buckets, sizes, common, spread, rank, ends, texts_of
     bounds = np.searchsorted(text, np.arange(n_texts + 1))
+    del text
+    place = np.zeros(n_words, dtype=np.int64)
     vectors = draw.normal(0, 0.1, (len(present), DIMENSIONS))
     softmax = draw.normal(0, 1.0, (2, DIMENSIONS))
     bias = np.array([np.log(y.mean() / (1 - y.mean()))])
@@ -215,10 +230,18 @@ def train(
         for chosen in np.array_split(mixed, max(1, n_texts // batch)):
             n = len(chosen)
             used = np.concatenate([number[bounds[t] : bounds[t + 1]] for t in chosen])
+            place[:] = 0
+            place[used] = 1
+            own = np.flatnonzero(place)  # the batch's different words, and their n-grams
+            place[own] = np.arange(len(own))
+            used = place[used]
+            grams_of = size_of[own]
+            word_of = np.repeat(np.arange(len(own)), grams_of)
+            own_slot = slot[np.repeat(first_of[own] - (np.cumsum(grams_of) - grams_of), grams_of) + np.arange(grams_of.sum())]
             sizes = bounds[chosen + 1] - bounds[chosen]
             of = np.repeat(np.arange(n), sizes)
             direction = softmax[1] - softmax[0]
-            word = np.bincount(owners, (vectors @ direction)[slot], n_words) / grams
+            word = np.bincount(word_of, (vectors @ direction)[own_slot], len(own)) / grams[own]
             if epoch < epochs[0]:
                 share_of = (scale / np.maximum(sizes, 1))[of]
                 top = np.bincount(of, word[used] * share_of, n)
@@ -231,8 +254,8 @@ def train(
                 span = np.repeat(last[head] - size[head] + 1, size[head]) + np.arange(size[head].sum()) - np.repeat(np.cumsum(size[head]) - size[head], size[head])
                 share_of, of, used = np.repeat(1 / size[head], size[head]), of[span], used[span]
             error = (1 / (1 + np.exp(-np.clip(top + bias[0], -30, 30))) - y[chosen]) / n
-            per_word = np.bincount(used, error[of] * share_of, n_words) / grams
-            on_gram = np.bincount(slot, per_word[owners], len(present))
+            per_word = np.bincount(used, error[of] * share_of, len(own)) / grams[own]
+            on_gram = np.bincount(own_slot, per_word[word_of], len(present))
             g_direction = on_gram @ vectors
             step += 1
             gradients = [np.outer(on_gram, direction), np.stack([-g_direction, g_direction]), np.array([error.sum()])]
