@@ -33,11 +33,12 @@ import hashlib
 import html
 import json
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +126,9 @@ class _Tags:
     def _end(self, at: int) -> int:
         """Where the tag ends whose attributes start at ``at``; -1 if it never does. A value is quoted only after its sign."""
         page, n = self.page, len(self.page)
+        end = page.find(">", at)
+        if end < 0 or page.find("=", at, end) < 0:
+            return end
         while True:
             at = _PLAIN.match(page, at).end()
             if at >= n:
@@ -165,7 +169,7 @@ def tree(page: str) -> Node:
     """The balanced token stream of a page; texts are decoded strings among the nodes."""
     root = Node("", "", False)
     stack: list[tuple[str, Node]] = [("", root)]
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, int] = defaultdict(int)
     at = 0
 
     def text(piece: str) -> None:
@@ -173,12 +177,14 @@ def tree(page: str) -> Node:
             stack[-1][1].kids.append(html.unescape(piece))
 
     def cut(i: int) -> None:
-        for name, _ in stack[i:]:
-            opened[name] -= 1
-        del stack[i:]
+        while len(stack) > i:
+            opened[stack.pop()[0]] -= 1
 
     def close(names: set[str], walls: set[str] = frozenset()) -> None:
-        if not any(opened[n] for n in names):
+        for name in names:
+            if opened[name]:
+                break
+        else:
             return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
@@ -234,7 +240,7 @@ def _shape(node: Node, link: bool = False, level: int = 0) -> list:
         if isinstance(kid, str):
             words = " ".join(kid.split())
             if words:
-                kids.append(["#", "1", False, [hashlib.blake2b(words.encode(), digest_size=8).hexdigest(), len(words), linked, 1], []])
+                kids.append(["#", "1", False, [xxhash.xxh3_64_hexdigest(words), len(words), linked, 1], []])
         else:
             kids.append(_shape(kid, link or kid.name == "a", level + 1))
     return [node.key, "1", node.other, None, _folded(kids)]
@@ -433,7 +439,7 @@ def extract(page: str | None, rule: dict | None = None) -> str:
                 todo.extend((kid, only) for kid in reversed(node.kids))
         flush()
     if fixed:
-        own = [b for b in blocks if hashlib.blake2b(b.encode(), digest_size=8).hexdigest() not in fixed]
+        own = [b for b in blocks if xxhash.xxh3_64_hexdigest(b) not in fixed]
         if not whole or 2 * sum(map(len, own)) > sum(map(len, blocks)):
             blocks = own
     return "\n".join(blocks)
