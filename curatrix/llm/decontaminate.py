@@ -20,6 +20,7 @@ rows.
 
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,23 +59,31 @@ class _Length:
             both = np.concatenate([self.keys, key])
             order = np.argsort(both)
             self.keys, self.shift = both[order], np.concatenate([self.shift, np.full(len(key), far)])[order]
+        # Which keys there may be, by a hash of few bits: most blocks of a text need no search.
+        self.bits = np.uint64(64 - max(10, int(8 * len(self.keys)).bit_length()))
+        self.known = np.zeros(1 << (64 - int(self.bits)), dtype=bool)
+        self.known[self._cell(self.keys)] = True
         hashes = _windows(words_, starts, m)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.starts, self.item = hashes[order], starts[order], item[order]
 
+    def _cell(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
+
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.keys, self.shift, self.hashes, self.starts, self.item))
+        return sum(x.nbytes for x in (self.keys, self.shift, self.known, self.hashes, self.starts, self.item))
 
     def search(self, ids: np.ndarray, found: list[tuple[int, int]], items: set[int]) -> None:
         m, b, n = self.m, self.block, len(ids)
         if n < m:
             return
-        last = np.arange(m - 1, n)
-        key = _blocks(ids, last, b)
-        at = np.searchsorted(self.keys, key)
+        key = _blocks(ids, slice(m - 1, n), b)
+        steps = np.where(ids[m - 1 :] < 0, m, m - b + 1)  # no pattern has this word, or not this block
+        maybe = np.flatnonzero(self.known[self._cell(key)])
+        at = np.searchsorted(self.keys, key[maybe])
         at[at == len(self.keys)] = 0
-        steps = np.where(self.keys[at] == key, self.shift[at], m - b + 1)
-        steps[ids[last] < 0] = m  # no pattern has this word
+        met = self.keys[at] == key[maybe]
+        steps[maybe[met]] = self.shift[at[met]]
         if steps.all():
             return
         ends, steps, at, stop = [], steps.tolist(), 0, n - m + 1
@@ -97,12 +106,13 @@ class _Length:
                 found.append((start, start + m))
 
 
-def _blocks(ids: np.ndarray, last: np.ndarray, block: int) -> np.ndarray:
-    """The key of the one or two words that end at each place; -1 where one of them is in no pattern."""
+def _blocks(ids: np.ndarray, last: np.ndarray | slice, block: int) -> np.ndarray:
+    """The key of the one or two words that end at each place; negative where one of them is in no pattern."""
+    own = ids[last].astype(np.int64)
     if block == 1:
-        return ids[last].astype(np.int64)
-    before, own = ids[last - 1].astype(np.int64), ids[last].astype(np.int64)
-    return np.where((before < 0) | (own < 0), -1, before << 32 | own)
+        return own
+    before = ids[slice(last.start - 1, last.stop - 1) if isinstance(last, slice) else last - 1].astype(np.int64)
+    return before << 32 | own
 
 
 def _windows(ids: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
@@ -141,8 +151,7 @@ class Matcher:
     def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, merged spans of hit words, items as sorted strings, a null last."""
         own = words(text)
-        get = self.ids.get
-        ids = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
+        ids = np.fromiter(map(self.ids.get, own, repeat(-1)), np.int32, len(own))
         found: list[tuple[int, int]] = []
         items: set[int] = set()
         for of in self.lengths:
