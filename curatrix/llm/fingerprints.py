@@ -57,13 +57,19 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Prefix:
     """Prefix arrays of a text, and what they answer."""
 
-    def __init__(self, points: np.ndarray):
-        self.n = len(points)
+    def __init__(self, points: np.ndarray, before: "Prefix | None" = None, keep: int = 0):
+        """Of ``points``, or of the first ``keep`` characters of another text and then ``points``, without going over those again."""
+        self.n, self.keep, self.before = keep + len(points), keep, before
         self.sums = []
-        for base in MULTIPLIERS:
+        for k, base in enumerate(MULTIPLIERS):
             sums = np.zeros(self.n + 1, dtype=np.uint64)
-            np.cumsum(_mod((points.astype(np.uint64) + np.uint64(1)) * _powers(base, self.n)), out=sums[1:])
-            self.sums.append(_mod(sums))
+            if before is not None:
+                sums[: keep + 1] = before.sums[k][: keep + 1]
+            np.cumsum(_mod((points.astype(np.uint64) + np.uint64(1)) * _powers(base, self.n)[keep:]), out=sums[keep + 1 :])
+            sums[keep + 1 :] += sums[keep]
+            sums[keep + 1 :] = _mod(sums[keep + 1 :])
+            self.sums.append(sums)
+        self.values: np.ndarray | None = None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The hashes of characters start to end, as if the span stood first."""
@@ -85,16 +91,24 @@ class Prefix:
                 high = middle - 1
         return low
 
-    def spans(self, width: int) -> np.ndarray:
-        """The first hash of every span of ``width`` characters."""
+    def spans(self, width: int, start: int = 0) -> np.ndarray:
+        """The first hash of every span of ``width`` characters from ``start`` on."""
         if not self.n:
             return np.zeros(0, dtype=np.uint64)
         width, sums = min(width, self.n), self.sums[0]
-        inverse = _powers(pow(MULTIPLIERS[0], -1, PRIME), self.n - width + 1)
-        return _mod(_mod(sums[width:] + _P - sums[: self.n - width + 1]) * inverse)
+        inverse = _powers(pow(MULTIPLIERS[0], -1, PRIME), self.n - width + 1)[start:]
+        return _mod(_mod(sums[start + width :] + _P - sums[start : self.n - width + 1]) * inverse)
+
+    def marks(self) -> np.ndarray:
+        """32 bits for every span of ``WIDTH`` characters."""
+        if self.values is None:
+            known = max(0, self.keep - WIDTH + 1) if self.n >= WIDTH else 0
+            own = (mix(self.spans(WIDTH, known)) >> np.uint64(32)).astype(np.uint32)
+            self.values = np.concatenate([self.before.marks()[:known], own]) if known else own
+        return self.values
 
     def fingerprint(self) -> str:
-        values = mix(self.spans(WIDTH)) >> np.uint64(32)
+        values = self.marks()
         if len(values) > 16 * SKETCH:
             least = np.unique(np.partition(values, 4 * SKETCH)[: 4 * SKETCH])
             values = least if len(least) >= SKETCH else values
@@ -185,7 +199,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if held is not None and held[0] == bucket:
                     _, own, own_text, own_prefix, own_print = held
                     other_text = edited(own_text, text)
-                    other = Prefix(codes(other_text))
+                    keep = own_prefix.n - own_prefix.n // 4
+                    other = Prefix(codes(other_text[keep:]), own_prefix, keep)
                     other_print = other.fingerprint()
                     out.append((
                         own, own_prefix.n, hashlib.sha256(other_text.encode()).hexdigest(), own_print, other_print,
