@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from curatrix.llm import chat_format, queries
+from curatrix.llm import chat_format, fingerprints, queries
 from tests.llm.test_operators import prose
 
 TEXTS = {
@@ -162,6 +162,7 @@ def test_op9(spark, tables):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
         assert r["shared_prefix"] == len(os.path.commonprefix([text, changed]))
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 and (changed != text or r["near_edited"] == 1)
+        assert (fingerprints.fingerprint(text), fingerprints.fingerprint(changed)) == (r["fingerprint"], r["edited_fingerprint"])
         assert of_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
         assert of_text.setdefault(changed, r["edited_fingerprint"]) == r["edited_fingerprint"]
     assert len(set(of_text.values())) == len(of_text)
