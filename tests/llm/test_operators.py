@@ -328,6 +328,22 @@ def test_near_dedup_against_all_pairs(spark):
     assert kept == set(got.values())
 
 
+def weighted_pairs(rng):
+    """Plain similarity says the opposite of TF-IDF here, with shingles that 2 and 14 of 400 texts have: 1 and 2 are a class, 3 and 4 are none."""
+    rare, usual, passage = prose(rng, 100), prose(rng, 30), prose(rng, 100)
+    rows = [(1, rare), (2, rare + " " + usual), (3, passage + " " + prose(rng, 8)), (4, passage + " " + prose(rng, 8))]
+    rows += [(100 + i, usual + " " + prose(rng, 60)) for i in range(13)] + [(200 + i, passage + " " + prose(rng, 60)) for i in range(12)]
+    return rows + [(1000 + i, prose(rng, 30)) for i in range(371)]
+
+
+def test_every_shingle_has_its_own_idf(spark):
+    docs = frame(spark, weighted_pairs(random.Random(31)))
+    _, counts, n = near_dedup.frequencies(docs.select("text"), 5)
+    assert n == 400 and {1, 2, 14} <= set(counts.tolist())
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs).collect()}
+    assert got == brute_classes(docs) and [got[i] for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
+
+
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
