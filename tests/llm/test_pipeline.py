@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from curatrix.llm import near_dedup
-from tests.llm.test_operators import brute_classes, brute_hits, brute_lines, copies, prose
+from tests.llm.test_operators import brute_classes, brute_hits, brute_lines, copies, prose, weighted_pairs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,6 +62,12 @@ def test_stages(spark, data):
     assert near_dedup.THRESHOLD == 0.8
 
 
+def test_near_copies_are_told_by_the_idf_of_every_shingle(spark):
+    rows = [(i, t, "en", "s", len(t)) for i, t in weighted_pairs(random.Random(32))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in rows} - {2}
+
+
 def test_empty_and_odd_columns(spark, data, tmp_path):
     d, *_ = data
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0).selectExpr("*", "1 AS node", "2 AS key", "3 AS score")
