@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -344,6 +345,40 @@ def test_every_shingle_has_its_own_idf(spark):
     assert got == brute_classes(docs) and [got[i] for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
 
 
+def test_near_dedup_steps_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        found = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    before = held()
+    texts = near_dedup.lots(frame(spark, weighted_pairs(random.Random(33))).select("doc_id", "text"))
+    texts = near_dedup.materialize(texts, "lots")
+    nodes = near_dedup.placed(texts)
+    told = near_dedup.counted(texts, nodes, 5)
+    assert near_dedup.sign(texts, nodes, told, 400, 5, 3, 14).count() == near_dedup.vectors(texts, nodes, told, 400, 5).count() == 400
+    for _ in range(50):  # files go in the background
+        left = sum(n for name, n in held().items() if name not in before)
+        if left < 20_000:  # those of small counts stay
+            break
+        time.sleep(0.2)
+    assert left < 20_000
+
+
+@pytest.mark.parametrize("listed", [0, 1_000_000])
+def test_places_are_found_by_bits_or_by_shuffle(spark, monkeypatch, listed):
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    monkeypatch.setattr(near_dedup, "_TEXTS", 130)
+    rows = weighted_pairs(random.Random(34))
+    texts = near_dedup.materialize(near_dedup.lots(frame(spark, [*rows, (5000, ""), (5001, None)]).select("doc_id", "text")), "lots")
+    wanted = texts.where("doc_id % 3 = 0")
+    found = near_dedup._at(texts, wanted).collect()
+    assert sorted(r["doc_id"] for r in found if r["node"] is not None) == sorted(i for i, _ in rows if i % 3 == 0)
+    assert sum(r["node"] is None for r in found) == texts.where("node IS NULL").count() >= 4
+
+
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
