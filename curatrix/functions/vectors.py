@@ -75,8 +75,3 @@ def from_hex16(text: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
-
-
-def aspect_gap(width: Column, height: Column, of_width: Column, of_height: Column) -> Column:
-    """Relative difference of an item's aspect ratio from another's, which is the measure."""
-    return F.abs((width / height) / (of_width / of_height) - 1)
